@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import decontaminate
+from sievework.llm import decontaminate, jpeg
 from sievework.llm.common import documents
 
 
@@ -13,7 +13,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(documents(spark, sf_dir), bench))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate}
+def op9_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.digest(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
+    "op9_media_jpeg": op9_media_jpeg,
+}
 
 _OP2 = r"""
 WITH w AS (
