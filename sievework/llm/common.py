@@ -185,3 +185,20 @@ def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def binaries(data: np.ndarray | bytes, offsets: np.ndarray) -> pa.Array:
     n = len(offsets) - 1
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(data) if isinstance(data, np.ndarray) else data)])
+
+
+def tree_sum(df: DataFrame, key: str, dtype: str, levels: tuple[int, ...] = (4096, 64)) -> DataFrame:
+    """Sum binary arrays of equal size (column `sums`) by key, in levels, so that no task gathers more than a few
+    hundred of them however many tasks made them."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def add(part: pa.Table) -> pa.Table:
+        total = np.frombuffer(part.column("sums")[0].as_py(), dtype).copy()
+        for x in part.column("sums").to_pylist()[1:]:
+            total += np.frombuffer(x, dtype)
+        return pa.table({key: part.column(key)[:1], "salt": part.column("salt")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    df = df.select(key, F.spark_partition_id().cast("long").alias("salt"), "sums")
+    for n in (*levels, 1):
+        df = df.withColumn("salt", F.col("salt") % n).groupBy(key, "salt").applyInArrow(add, f"{key} {kind}, salt long, sums binary")
+    return df.drop("salt")

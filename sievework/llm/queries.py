@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievework.llm import decontaminate, jpeg
-from sievework.llm.common import documents
+from sievework.llm import decontaminate, jpeg, langid, quality, toxicity
+from sievework.llm.common import documents, remainder
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,13 +14,34 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(documents(spark, sf_dir), bench))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.where(remainder(F.col("doc_id"), 3) != 1))
+    return langid.predict(docs, model).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op9_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.digest(documents(spark, sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, net).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "windows", "worst_word")
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op5_quality": op5_quality,
+    "op7_language": op7_language,
     "op9_media_jpeg": op9_media_jpeg,
+    "op10_toxicity": op10_toxicity,
 }
 
 _OP2 = r"""
