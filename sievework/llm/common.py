@@ -202,3 +202,33 @@ def tree_sum(df: DataFrame, key: str, dtype: str, levels: tuple[int, ...] = (409
     for n in (*levels, 1):
         df = df.withColumn("salt", F.col("salt") % n).groupBy(key, "salt").applyInArrow(add, f"{key} {kind}, salt long, sums binary")
     return df.drop("salt")
+
+
+#: A Bloom filter has 16 bits for each of its members up to this many bits, 16 MB; with more members it lets more through.
+BLOOM_MOST = 1 << 27
+
+
+def _spots(a: np.ndarray, b: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    x, y = a.view(np.uint64), b.view(np.uint64)
+    m = np.uint64(bits - 1)
+    return x & m, (x >> np.uint64(32) ^ y) & m
+
+
+def bloom(df: DataFrame, a: str, b: str):
+    """A broadcast Bloom filter of bounded size over two columns of hashes; what it lets through has to be joined yet."""
+    n = df.agg(F.count(F.lit(1))).first()[0]
+    bits = min(BLOOM_MOST, 1 << max(12, (16 * n).bit_length()))
+    mask = F.lit(bits - 1).cast("long")
+    spots = F.array(F.col(a).bitwiseAND(mask), F.shiftrightunsigned(a, 32).bitwiseXOR(F.col(b)).bitwiseAND(mask))
+    words = df.select(F.explode(spots).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("one"))
+    got = words.groupBy("word").agg(F.bit_or("one").alias("one")).toArrow()  # bits / 64 rows at most
+    out = np.zeros(bits // 64, np.int64)
+    out[got.column("word").to_numpy()] = got.column("one").to_numpy()
+    return df.sparkSession.sparkContext.broadcast(out.view(np.uint64))
+
+
+def in_bloom(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.ones(len(a), bool)
+    for spot in _spots(a, b, len(words) * 64):
+        out &= (words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
