@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontaminate, jaccard_join, jpeg, langid, line_dedup, mixing, quality, toxicity
+from sievework.llm import decontaminate, jaccard_join, jpeg, langid, line_dedup, mixing, quality, substring_dedup, suffix_dedup, toxicity
 from sievework.llm.common import documents, remainder
 
 
@@ -18,6 +18,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(documents(spark, sf_dir), bench))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(documents(spark, sf_dir))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(documents(spark, sf_dir))
 
@@ -28,6 +32,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(documents(spark, sf_dir))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.where(remainder(F.col("doc_id"), 3) != 1))
@@ -51,8 +59,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_language": op7_language,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_media_jpeg": op9_media_jpeg,
@@ -97,6 +107,18 @@ SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, coalesce(n_rem
 FROM d LEFT JOIN s USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+#: Windows of 20 words, each but the first of its words removed.
+_OP6 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, p, array_to_string(ws[p:p + 19], ' ') AS v FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS p FROM d)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY v ORDER BY doc_id, p) AS i FROM w),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 19)) AS p FROM r WHERE i > 1),
+k AS (SELECT l.doc_id, string_agg(l.v, ' ' ORDER BY l.p) AS kept, count(*) AS n
+      FROM (SELECT doc_id, unnest(ws) AS v, unnest(generate_series(1, len(ws))) AS p FROM d) l ANTI JOIN g ON l.doc_id = g.doc_id AND l.p = g.p GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 
 def _op4() -> str:
     """Six rounds of 32 sections each, then quotas and permuted blocks."""
@@ -133,4 +155,4 @@ FROM k JOIN bo USING (key, epoch, b) WHERE epoch < full_ OR before_ + upto <= re
 """
 
 
-ORACLE = {"op1_line_dedup": _OP1, "op2_decontaminate": _OP2, "op4_mixing": _op4()}
+ORACLE = {"op1_line_dedup": _OP1, "op2_decontaminate": _OP2, "op4_mixing": _op4(), "op6_substring_dedup": _OP6}
