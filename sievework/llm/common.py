@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Texts are handled in slices of about so many bytes; one longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -91,7 +92,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         lo = hi
 
 
-def map_slices(df: DataFrame, f: Callable, schema: str, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
+def map_slices(df: DataFrame, f: Callable, schema: str | StructType, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over slices of texts; f(part, data, offsets) gives a record batch or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -129,8 +129,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
     a shuffle. A larger benchmark is dealt into blocks of about that size: each further pass yields only documents with
     hits, which are put together by document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(size) // block_bytes))
+    n = _count(benchmark, block_bytes)
     scan = lambda k: map_slices(docs, scanner(item_windows(_items(benchmark, k, n), width)), SCHEMA)
     first = scan(0)
     if n == 1:
@@ -147,11 +146,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
     return out.select("doc_id", "n_words", *(both[c].alias(c) for c in lists))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """The rows of docs without any hit word, with their columns: a contaminated document goes as a whole."""
-    found = decontaminate(docs, benchmark, width)
-    bad = found.where(F.size("word_hits") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def _count(benchmark: DataFrame, block_bytes: int) -> int:
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-int(size) // block_bytes))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs without any hit word, with all their columns: a contaminated document goes as a whole. Each block of
+    the benchmark is one pass, without a shuffle."""
+    n = _count(benchmark, block_bytes)
+    for k in range(n):
+        scan = scanner(item_windows(_items(benchmark, k, n), width))
+
+        def run(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, scan=scan) -> pa.RecordBatch:
+            found = scan(table(doc_id=pa.nulls(part.num_rows, pa.int64()), th=pa.nulls(part.num_rows, pa.int64())), data, offsets)
+            hits = found.column("word_hits").value_lengths().to_numpy(zero_copy_only=False)
+            return part.filter(pa.array(hits == 0))
+
+        docs = map_slices(docs, run, docs.schema)
+    return docs
 
 
 def digest(found: DataFrame) -> DataFrame:
