@@ -1,0 +1,118 @@
+"""Column functions over text, paths, hosts and bytes."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from sievework.plans.catalog import SNIPPET
+
+# Shapes of secrets, in the order in which they are redacted.
+_B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+SECRET_SHAPES = (
+    _B + r"sk-[A-Za-z0-9_-]{12,}" + _E,
+    _B + r"sk-ant-[A-Za-z0-9_-]{12,}" + _E,
+    _B + r"AKIA[0-9A-Z]{16}" + _E,
+    _B + r"ghp_[A-Za-z0-9]{36}" + _E,
+    _B + r"github_pat_[A-Za-z0-9_]{22,}" + _E,
+    _B + r"npm_[A-Za-z0-9]{36}" + _E,
+    _B + r"AIza[0-9A-Za-z_-]{35}" + _E,
+    _B + r"xox[baprs]-[A-Za-z0-9-]{10,}" + _E,
+    _B + r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}" + _E,
+    r"-----BEGIN (?:RSA |EC |OPENSSH |DSA |ENCRYPTED )?PRIVATE KEY-----[\s\S]{0,6000}?-----END (?:RSA |EC |OPENSSH |DSA |ENCRYPTED )?PRIVATE KEY-----",
+)
+TEST_PATH = r"(?i)(^|[\\/])(?:test|tests|__tests__|spec|e2e)([\\/]|\.)|\.(?:spec|test|e2e)\."
+BUILD_PATH = r"(?i)(^|[\\/])(?:dist|build|out|bundle)([\\/]|\z)"
+DEVELOPMENT_PATH = r"(?i)(^|[\\/])(?:evals?|bench|benchmarks?|examples?|fixtures?)[\\/]"
+
+
+def snippet(x: Column, most: int = SNIPPET) -> Column:
+    """White space collapsed and trimmed, at most `most` characters, an ellipsis for the rest."""
+    y = F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.when(F.length(y) > most, F.concat(F.substring(y, 1, most - 1), F.lit("…"))).otherwise(y)
+
+
+def newlines(x: Column) -> Column:
+    return F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+
+
+def extension(path: Column) -> Column:
+    """From the last dot of the whole path, in lower case; empty without a dot."""
+    return F.regexp_extract(F.lower(path), r"(\.[^.]*)\z", 1)
+
+
+def context(path: Column, reachable: Column | None = None) -> Column:
+    """source, test or development; what the runtime reaches is source whatever its path."""
+    out = F.when(path.rlike(TEST_PATH), "test").when(path.rlike(DEVELOPMENT_PATH), "development").otherwise("source")
+    return out if reachable is None else F.when(reachable, "source").otherwise(out)
+
+
+def redact(x: Column, shapes: tuple[str, ...] = SECRET_SHAPES) -> Column:
+    """Each shape in turn, on what the shapes before have left: the first 6 and last 4 characters stay around ****, of 12
+    characters or fewer the first 2."""
+    for shape in shapes:
+        found = F.array_distinct(F.regexp_extract_all(x, F.lit(f"({shape})"), F.lit(1)))
+        masked = lambda m: F.when(F.length(m) <= 12, F.concat(F.substring(m, 1, 2), F.lit("****"))).otherwise(F.concat(F.substring(m, 1, 6), F.lit("****"), F.substring(m, -4, 4)))
+        x = F.when(x.rlike(shape), F.aggregate(F.sort_array(found, asc=False), x, lambda acc, m: F.replace(acc, m, masked(m)))).otherwise(x)
+    return x
+
+
+def secret_fingerprints(x: Column, shapes: tuple[str, ...] = SECRET_SHAPES, most: int = 5) -> Column:
+    """The first 24 hex digits of SHA-256 of the first secrets, shape by shape."""
+    found = F.flatten(F.array(*(F.regexp_extract_all(x, F.lit(f"({s})"), F.lit(1)) for s in shapes)))
+    return F.transform(F.slice(found, 1, most), lambda m: F.substring(F.sha2(m, 256), 1, 24))
+
+
+def fingerprint(rule: Column, path: Column, sink: Column, source: Column, anchor: Column) -> Column:
+    """Stable under moves within a file: lines are no part of it."""
+    file = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    text = F.substring(F.trim(F.regexp_replace(F.coalesce(anchor, F.lit("")), r"\s+", " ")), 1, 240)
+    return F.substring(F.sha2(F.concat_ws("|", rule, file, F.coalesce(sink, F.lit("")), F.coalesce(source, F.lit("")), text), 256), 1, 24)
+
+
+def glob_pattern(glob: str) -> str:
+    """A regex for a glob: ** for any depth, **/ with its slash optional, * within a segment, ? for one character."""
+    out, i = "^", 0
+    while i < len(glob):
+        if glob.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif glob.startswith("**", i):
+            out, i = out + ".*", i + 2
+        else:
+            out += {"*": "[^/]*", "?": "[^/]"}.get(glob[i], re.escape(glob[i]))
+            i += 1
+    return out + "$"
+
+
+def host(url: Column) -> Column:
+    """Host of a URL in lower case, without brackets; null where there is none."""
+    found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
+    found = F.lower(F.regexp_replace(found, r"^\[|\]$", ""))
+    return F.when(found == "", None).otherwise(found)
+
+
+def private_ipv4(ip: Column) -> Column:
+    """Whether a dotted address is not public; malformed octets count as private."""
+    o = [F.split(ip, r"\.").getItem(i).cast("int") for i in range(4)]
+    return (
+        (F.greatest(*o) > 255) | (o[0] == 0) | (o[0] == 10) | (o[0] == 127) | (o[0] >= 224)
+        | ((o[0] == 100) & o[1].between(64, 127)) | ((o[0] == 169) & (o[1] == 254)) | ((o[0] == 172) & o[1].between(16, 31))
+        | ((o[0] == 192) & (o[1] == 168)) | ((o[0] == 192) & (o[1] == 0) & o[2].isin(0, 2)) | ((o[0] == 198) & o[1].isin(18, 19))
+        | ((o[0] == 198) & (o[1] == 51) & (o[2] == 100)) | ((o[0] == 203) & (o[1] == 0) & (o[2] == 113))
+    )
+
+
+def import_gate(module: str) -> str:
+    """A regex that holds where a file imports or requires a module."""
+    return r"(?:require|import)[^;\n]{0,80}['\"][^'\"]{0,40}" + re.escape(module)
+
+
+def package_spec(spec: Column) -> tuple[Column, Column]:
+    """Name and version of name@version; a leading @ is a scope."""
+    return F.regexp_extract(spec, r"^(.+?)(?:@([^@]*))?$", 1), F.nullif(F.regexp_extract(spec, r"^(.+?)(?:@([^@]*))?$", 2), F.lit(""))
+
+
+def purl(name: Column, version: Column, kind: str = "npm") -> Column:
+    return F.concat(F.lit(f"pkg:{kind}/"), F.replace(name, F.lit("@"), F.lit("%40")), F.lit("@"), version)

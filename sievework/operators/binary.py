@@ -1,0 +1,33 @@
+"""Statistics of bytes: kind by magic, entropy, printable strings and hints."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Leading bytes of the kinds that are told apart.
+MAGIC = (("7F454C46", "elf"), ("4D5A", "pe"), ("0061736D", "wasm"), ("CAFEBABE", "macho-fat"), ("FEEDFACE", "macho"), ("FEEDFACF", "macho"), ("CEFAEDFE", "macho"), ("CFFAEDFE", "macho"), ("504B0304", "zip"), ("1F8B", "gzip"))
+ENTROPY_LIMIT = 7.2
+
+
+def kind(data: Column) -> Column:
+    head = F.hex(F.substring(data, 1, 8))
+    out = F.lit("unknown")
+    for magic, name in reversed(MAGIC):
+        out = F.when(head.startswith(magic), name).otherwise(out)
+    return out
+
+
+def entropy(rows: DataFrame, key: str, data: str) -> DataFrame:
+    """key, bytes, entropy (Shannon's, in bits a byte, 3 decimals; 0 for no bytes). Bytes are read off a hex string and counted
+    by value before anything is shuffled: at most 256 counts a key and task."""
+    pairs = rows.select(key, F.explode(F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))).alias("b"))
+    counts = pairs.groupBy(key, "b").agg(F.count(F.lit(1)).alias("c"))
+    out = counts.groupBy(key).agg(F.sum("c").alias("bytes"), F.sum(F.col("c") * F.log2(F.col("c").cast("double"))).alias("s"))
+    out = out.select(key, "bytes", F.round(F.log2(F.col("bytes").cast("double")) - F.col("s") / F.col("bytes"), 3).alias("entropy"))
+    return rows.select(key).join(out, key, "left").select(key, F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("entropy", F.lit(0.0)).alias("entropy"))
+
+
+def printable(data: Column, least: int = 4) -> Column:
+    """Runs of at least `least` printable ASCII characters or tabs."""
+    return F.regexp_extract_all(F.decode(data, "ISO-8859-1"), F.lit(rf"([\x20-\x7e\t]{{{least},}})"), F.lit(1))

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from sievework.plans import audit, corpus
+
+QUERIES: dict = audit.QUERIES | corpus.QUERIES
+ORACLE: dict[str, str] = audit.ORACLE | corpus.ORACLE
