@@ -22,11 +22,12 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[0x30:0x3A] = _KIND[0x61:0x7B] = _KIND[0x41:0x5B] = _KIND[0x80:] = 1
 _KIND[0x21:0x30] = _KIND[0x3A:0x41] = _KIND[0x5B:0x61] = _KIND[0x7B:0x7F] = 2
 EXTRA = 6
+_SHARE = np.where(_KIND == 2, 3, 0).astype(np.int64)
+_SHARE[0x41:0x5B], _SHARE[0x30:0x3A] = 1, 2
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all tokens (runs of letters and digits; single punctuation marks), the tokens before each row, and
-    EXTRA plain shares per row: upper case, digits, marks, mean token length, distinct tokens, length."""
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all tokens (runs of letters and digits; single punctuation marks), and the tokens before each row."""
     n = len(data)
     kind = _KIND[data]
     first = np.zeros(n + 1, bool)
@@ -37,18 +38,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts = np.flatnonzero(begin)
     stop = np.flatnonzero(np.concatenate(((kind[1:] != kind[:-1]) | (kind[1:] == 2) | first[1:-1], [True]))) if n else np.zeros(0, np.int64)
     ends = stop[kind[stop] > 0] + 1
-    hashes = Prefix(data, 5)(starts, ends)
-    ids = (hashes >> np.uint64(52)).astype(np.int64)
-    before = np.searchsorted(starts, offsets)
-    rows = len(offsets) - 1
-    total = np.maximum(np.diff(before), 1)
-    size = np.maximum(np.diff(offsets), 1)
-    share = lambda flag: np.diff(np.concatenate(([0], np.cumsum(flag)))[offsets]) / size
-    of = np.repeat(np.arange(rows), np.diff(before))
-    pairs = np.unique(of << 12 | ids)
-    distinct = np.bincount(pairs >> 12, minlength=rows) / np.sqrt(total)
-    extra = np.stack([share((data >= 0x41) & (data < 0x5B)), share((data >= 0x30) & (data < 0x3A)), share(kind == 2), size / total / 10, distinct / 10, np.log1p(total) / 10], 1)
-    return ids, before, extra
+    return (Prefix(data, 5)(starts, ends) >> np.uint64(52)).astype(np.int64), np.searchsorted(starts, offsets)
 
 
 def index_vectors() -> np.ndarray:
@@ -62,33 +52,29 @@ def index_vectors() -> np.ndarray:
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """VOCABULARY x SIZE: for each word the sum of its neighbours' index vectors over all documents, its own added, then
-    scaled to length 1. Each task sums its own part; parts are added by block of rows. The result's size is fixed."""
+    scaled to length 1. Each task counts pairs of neighbours; the tasks'
+    sums are added by block of rows. The result's size is fixed."""
     step = 256
 
     def run(batches):
-        index, sums = index_vectors(), np.zeros((VOCABULARY, SIZE + 1))
+        index, together = index_vectors(), np.zeros(VOCABULARY * VOCABULARY, np.int32)
         for batch in batches:
             for _, data, offsets in slices(batch):
-                ids, before, _ = tokens(data, offsets)
+                ids, before = tokens(data, offsets)
                 if len(ids) == 0:
                     continue
                 row_end = np.zeros(len(ids), bool)
                 row_end[before[1:][before[1:] > 0] - 1] = True
-                sums[:, -1] += np.bincount(ids, minlength=VOCABULARY)
+                ok = np.ones(len(ids), bool)
                 for gap in (1, 2):
-                    ok = np.ones(max(len(ids) - gap, 0), bool)
-                    for k in range(gap):
-                        ok &= ~row_end[k : k + len(ok)]
-                    pair, count = np.unique((ids[: len(ok)] << 12 | ids[gap:])[ok], return_counts=True)
-                    a, b = pair >> 12, pair & (VOCABULARY - 1)
-                    for x, y in ((a, b), (b, a)):
-                        order = np.argsort(x, kind="stable")
-                        x, w = x[order], index[y[order]] * count[order, None]
-                        at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
-                        if len(at):
-                            sums[x[at], :SIZE] += np.add.reduceat(w, at)
-        for k in range(0, VOCABULARY, step):
-            yield table(block=np.array([k], np.int64), sums=pa.array([sums[k : k + step].astype("<f8").tobytes()], pa.binary()))
+                    ok = ok[:-1] & ~row_end[gap - 1 : gap - 1 + len(ok) - 1]
+                    np.add.at(together, (ids[: len(ok)] << 12 | ids[gap : gap + len(ok)])[ok], 1)
+        if together.any():
+            pairs = together.reshape(VOCABULARY, VOCABULARY)
+            for k in range(0, VOCABULARY, step):
+                both = pairs[k : k + step].astype(np.float32) + pairs[:, k : k + step].T
+                sums = np.concatenate((both @ index, both.sum(1, keepdims=True)), 1)
+                yield table(block=np.array([k], np.int64), sums=pa.array([sums.astype("<f8").tobytes()], pa.binary()))
 
     got = tree_sum(docs.select("text").mapInArrow(run, "block long, sums binary"), "block", "<f8").collect()
     out = np.zeros((VOCABULARY, SIZE + 1))
@@ -101,20 +87,28 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean word vector of each row and the EXTRA shares; a row without tokens is all zero."""
-    ids, before, extra = tokens(data, offsets)
+    """Mean word vector of each row, and EXTRA plain shares: upper case, digits, marks, mean token length, distinct tokens,
+    length. A row without tokens is all zero."""
+    ids, before = tokens(data, offsets)
     rows = len(offsets) - 1
     out = np.zeros((rows, SIZE + EXTRA), np.float32)
     full = np.flatnonzero(np.diff(before))
-    if len(full):
-        # counts of a row's distinct words first: fewer vectors are gathered
-        of = np.repeat(np.arange(rows), np.diff(before))
-        pair, count = np.unique(of << 12 | ids, return_counts=True)
-        row = pair >> 12
-        w = vectors[pair & (VOCABULARY - 1)] * (count / np.diff(before)[row])[:, None].astype(np.float32)
-        at = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        out[row[at], :SIZE] = np.add.reduceat(w, at)
-        out[full, SIZE:] = extra[full]
+    if not len(full):
+        return out
+    # a row's distinct words first, so that fewer vectors are gathered
+    of = np.repeat(np.arange(rows), np.diff(before))
+    pair = np.sort((of << 12 | ids).astype(np.uint32 if rows < 1 << 20 else np.int64))
+    begin = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+    count = np.diff(np.append(begin, len(pair)))
+    pair = pair[begin].astype(np.int64)
+    row = pair >> 12
+    w = vectors[pair & (VOCABULARY - 1)] * (count / np.diff(before)[row])[:, None].astype(np.float32)
+    at = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    out[row[at], :SIZE] = np.add.reduceat(w, at)
+    total, size = np.diff(before)[full], np.diff(offsets)[full]
+    kinds = np.bincount(np.repeat(np.arange(rows), np.diff(offsets)) * 4 + _SHARE[data], minlength=rows * 4).reshape(rows, 4)[full, 1:] / size[:, None]
+    distinct = np.bincount(row, minlength=rows)[full] / np.sqrt(total)
+    out[full, SIZE:] = np.column_stack((kinds, size / total / 10, distinct / 10, np.log1p(total) / 10))
     return out
 
 
