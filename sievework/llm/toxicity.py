@@ -16,7 +16,7 @@ from sievework.llm.common import Prefix, map_slices, mix, remainder, table, text
 WINDOW = 32
 STRIDE = 16
 #: The network learns from at most so many labelled documents, those of the least hashes.
-MOST_ROWS = 6_000
+MOST_ROWS = 4_000
 #: Known words at most; each needs 3 training documents. All others share one vector and are told apart by characters.
 MOST_WORDS = 32_768
 WORD_SIZE, CHAR_SIZE, HIDDEN, CHAR_BUCKETS = 8, 4, 8, 2048
@@ -180,10 +180,30 @@ class Network:
         return out, row, first - before[row]
 
 
+def _read(texts: list[bytes]):
+    """Distinct words of all texts with their trigrams, and the words' numbers, read some texts at a time."""
+    held: list = []
+    for k in range(0, len(texts), 256):
+        some = texts[k : k + 256]
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in some]))).astype(np.int64)
+        low, found, starts, ends, number, before = distinct_words(np.frombuffer(b"".join(some), np.uint8), offsets)
+        held.append((found, *trigrams(low, starts, ends), number, np.diff(before)))
+    none = np.zeros(0, np.int64)
+    join = lambda xs: np.concatenate(list(xs) or [none])
+    found, place, inverse = np.unique(join(h[0] for h in held), return_index=True, return_inverse=True)
+    grams, shift = join(h[1] for h in held), np.cumsum([0, *(len(h[1]) for h in held)])
+    at = join(h[2] + s for h, s in zip(held, shift, strict=False))
+    count = np.diff(np.append(at, len(grams)))
+    words = np.cumsum([0, *(len(h[0]) for h in held)])
+    number = inverse[join(h[3] + w for h, w in zip(held, words, strict=False))]
+    at, count = at[place], count[place]
+    grams = grams[np.repeat(at - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())] if len(at) else none
+    return found, grams, np.cumsum(count) - count, count, number, np.concatenate(([0], np.cumsum(join(h[4] for h in held)))).astype(np.int64)
+
+
 def _train(texts: list[bytes], y: np.ndarray) -> Network:
-    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    low, found, starts, ends, number, before = distinct_words(np.frombuffer(b"".join(texts), np.uint8), offsets)
     rows = len(texts)
+    found, grams, at, count, number, before = _read(texts)
     # how much more often a word's documents are toxic than documents are: a start for two entries of its vector
     pair = np.unique(np.repeat(np.arange(rows), np.diff(before)) * max(len(found), 1) + number) if len(found) else np.zeros(0, np.int64)
     of, word = pair // max(len(found), 1), pair % max(len(found), 1)
@@ -199,8 +219,6 @@ def _train(texts: list[bytes], y: np.ndarray) -> Network:
         net.p["out"][:], net.p["bias"][0] = 0, 6.0 if rate == 1 else -6.0
         return net
     mine = net.number(found)
-    grams, at = trigrams(low, starts, ends)
-    count = np.diff(np.append(at, len(grams)))
     score = np.maximum.reduceat(np.append(np.where(mine[number] < len(known), np.append(z[known], 0)[mine[number]], 0), 0), np.stack([first, first + length], 1).ravel())[::2]
     rng = np.random.default_rng(5)
     m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
@@ -247,6 +265,20 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Netwo
     return _train(list(once), np.array(list(once.values()), np.float32))
 
 
+def _worst(state: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the worst window's probability and first word (0 and -1 without windows), and the number of windows."""
+    net = Network.__new__(Network)
+    vars(net).update(state)
+    logit, row, first = net.logits(data, offsets)
+    rows = len(offsets) - 1
+    order = np.lexsort((first, -logit, row))
+    at = np.flatnonzero(np.concatenate(([True], row[order][1:] != row[order][:-1]))) if len(row) else np.zeros(0, np.int64)
+    top = order[at]
+    p, word = np.zeros(rows), np.full(rows, -1, np.int64)
+    p[row[top]], word[row[top]] = sigmoid(logit[top].astype(np.float64)), first[top]
+    return p, word, np.bincount(row, minlength=rows)
+
+
 def score(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
     """doc_id, score (worst window's probability), predicted, windows, and the worst window's first word, for each row.
 
@@ -255,15 +287,18 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vars(net))  # MOST_WORDS and CHAR_BUCKETS vectors: under 2 MB
 
     def run(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        mine = Network.__new__(Network)
-        vars(mine).update(shared.value)
-        logit, row, first = mine.logits(data, offsets)
-        order = np.lexsort((first, -logit, row))
-        at = np.flatnonzero(np.concatenate(([True], row[order][1:] != row[order][:-1]))) if len(row) else np.zeros(0, np.int64)
-        top = order[at]
-        p, word = np.zeros(part.num_rows), np.full(part.num_rows, -1, np.int64)
-        p[row[top]], word[row[top]] = sigmoid(logit[top].astype(np.float64)), first[top]
-        return table(doc_id=part.column("doc_id").cast(pa.int64()), score=p, windows=np.bincount(row, minlength=part.num_rows), worst_word=word)
+        p, word, windows_ = _worst(shared.value, data, offsets)
+        return table(doc_id=part.column("doc_id").cast(pa.int64()), score=p, windows=windows_, worst_word=word)
 
     out = map_slices(docs.select("doc_id", "text"), run, "doc_id long, score double, windows long, worst_word long")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def reject(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that score less than the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(vars(net))  # as in score()
+
+    def run(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        return part.filter(pa.array(_worst(shared.value, data, offsets)[0] < threshold))
+
+    return map_slices(docs, run, docs.schema)
