@@ -52,10 +52,16 @@ def context(path: Column, reachable: Column | None = None) -> Column:
 def redact(x: Column, shapes: tuple[str, ...] = SECRET_SHAPES) -> Column:
     """Each shape in turn, on what the shapes before have left: the first 6 and last 4 characters stay around ****, of 12
     characters or fewer the first 2."""
+    masked = lambda m: F.when(F.length(m) <= 12, F.concat(F.substring(m, 1, 2), F.lit("****"))).otherwise(F.concat(F.substring(m, 1, 6), F.lit("****"), F.substring(m, -4, 4)))
+
+    def mask(t: Column, shape: str) -> Column:
+        # longer secrets first, since one may hold another
+        found = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(f"({shape})"), F.lit(1))), lambda a, b: F.length(b) - F.length(a))
+        return F.when(t.rlike(shape), F.aggregate(found, t, lambda acc, m: F.replace(acc, m, masked(m)))).otherwise(t)
+
     for shape in shapes:
-        found = F.array_distinct(F.regexp_extract_all(x, F.lit(f"({shape})"), F.lit(1)))
-        masked = lambda m: F.when(F.length(m) <= 12, F.concat(F.substring(m, 1, 2), F.lit("****"))).otherwise(F.concat(F.substring(m, 1, 6), F.lit("****"), F.substring(m, -4, 4)))
-        x = F.when(x.rlike(shape), F.aggregate(F.sort_array(found, asc=False), x, lambda acc, m: F.replace(acc, m, masked(m)))).otherwise(x)
+        # a one-element array binds the text so far, which would else be written out again for each of its uses
+        x = F.transform(F.array(x), (lambda s: lambda t: mask(t, s))(shape)).getItem(0)
     return x
 
 

@@ -135,7 +135,7 @@ def audit_pack() -> tuple[Rule, ...]:
         Rule("SEN-NET-002", "hardcoded-ip", "low", "network", code, n(
             r"[\"'`](?!0\.|10\.|100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|127\.|169\.254\.|172\.(?:1[6-9]|2\d|3[01])\.|192\.(?:0\.0\.|0\.2\.|88\.99\.|168\.)|198\.(?:1[89]\.|51\.100\.)|203\.0\.113\.|(?:22[4-9]|23\d|24\d|25[0-5])\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.)[\"'`]"), ignore_comments=True),
         Rule("SEN-MAN-001", "missing-package-manifest", "medium", "manifest"),
-        Rule("SEN-MAN-002", "not-a-dsh-bundle", "high", "manifest"),
+        Rule("SEN-MAN-002", "not-a-bundle", "high", "manifest"),
         Rule("SEN-MAN-003", "patch-file-missing", "high", "manifest"),
         Rule("SEN-MAN-004", "patch-row-invalid", "medium", "manifest"),
         Rule("SEN-MAN-005", "patch-entry-unresolvable", "medium", "manifest"),
