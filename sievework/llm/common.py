@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Texts are handled in slices of about so many bytes; one longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: ASCII white space as the word contracts name it: space and \x09-\x0D.
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,9 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so once the driver has collected their handles."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -43,17 +51,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: computed once, compressed, kept if executors go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sievework-{name}-{uuid.uuid4().hex}"
+    release(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, df: DataFrame) -> None:
-    """Delete what written() made once no later plan reads it."""
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/sievework-" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Delete what written() made, once no later plan reads it."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/sievework-" in path:
+                p = context._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,8 +215,8 @@ def tree_sum(df: DataFrame, key: str, dtype: str, levels: tuple[int, ...] = (409
     return df.drop("salt")
 
 
-#: A Bloom filter has 16 bits for each of its members up to this many bits, 16 MB; with more members it lets more through.
-BLOOM_MOST = 1 << 27
+#: A Bloom filter has 16 bits for each of its members up to this many bits, 32 MB; with more members it lets more through.
+BLOOM_MOST = 1 << 28
 
 
 def _spots(a: np.ndarray, b: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -24,8 +24,12 @@ WORDS, SIMILAR = 5, (80, 100)
 MOST_FREQUENT, FREQUENT = 1 << 17, 0.004
 #: The boundary is sought below this size.
 LIGHT_MOST = 24
-#: Rounds in which each member of a list is only compared with one leader, before all pairs of different components are.
-STAR_ROUNDS = 2
+#: Rounds before all pairs of different components are compared. In these a short list's members are compared with one
+#: leader, and each member of a longer list with its few most promising ones, so that large groups become few components.
+ROUNDS, LONG, FEW = 3, 32, 4
+#: A sketch has a bit for each cell that a token falls in, about four cells a token within these bounds. Tokens in cells that
+#: another set has empty are not in it, which bounds an intersection from above before whole sets are looked at.
+LEAST_CELLS, MOST_CELLS = 64, 1 << 16
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[0x41:0x5B] += 32
 
@@ -73,8 +77,9 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.nd
     first = before[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     last = np.minimum(first + words, before[row + 1]) - 1
     token = Prefix(laid, 8)(at[first], at[last] + lengths[last])
-    order = np.lexsort((token, row))
-    row, token = row[order], token[order]
+    cuts = np.concatenate(([0], np.cumsum(count))).tolist()
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):  # row by row: sorts of a few hundred numbers
+        token[lo:hi].sort()
     fresh = np.ones(len(row), bool)
     fresh[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
     return row[fresh], token[fresh]
@@ -88,9 +93,11 @@ def statistics(docs: DataFrame, words: int) -> tuple[np.ndarray, float]:
         for batch in batches:
             for part, data, offsets in slices(batch):
                 _, token = token_sets(data, offsets, words)
-                found, count = np.unique(token, return_counts=True)
+                token.sort()
+                first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
+                count = np.diff(np.append(first, len(token)))
                 often = count >= max(4, FREQUENT * part.num_rows)
-                yield table(token=found[often].view(np.int64), n=count[often].astype(np.int64))
+                yield table(token=token[first[often]].view(np.int64), n=count[often].astype(np.int64))
 
     summed = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     got = summed.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow()
@@ -112,7 +119,7 @@ def _light(tokens: np.ndarray, t: tuple[int, int]) -> list[np.ndarray]:
 
 
 def signed(docs: DataFrame, words: int, t: tuple[int, int], frequent: np.ndarray, most_light: int) -> DataFrame:
-    """doc_id, n (set size), a, b (128-bit hash of the set), keys (prefix tokens in order) and light (subset keys)."""
+    """doc_id, th, n (set size), a, b (128-bit hash of the set), keys (prefix tokens in order), light (subset keys), sketch."""
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order + 1))  # MOST_FREQUENT numbers at most
     both_from = -(-t[0] * (most_light + 1) // t[1])
@@ -128,8 +135,22 @@ def signed(docs: DataFrame, words: int, t: tuple[int, int], frequent: np.ndarray
         if len(known):
             k = np.minimum(np.searchsorted(known, token), len(known) - 1)
             place = np.where(known[k] == token, rank[k], 0)
-        by = np.lexsort((token, place, row))
+        # in each row the other tokens, sorted, then the frequent ones by rank
+        often = place > 0
+        last = np.flatnonzero(often)
+        last = last[np.lexsort((token[last], place[last], row[last]))]
+        others = np.flatnonzero(~often)
+        count = np.bincount(row[others], minlength=rows)
+        by = np.empty(len(token), np.int64)
+        before = np.concatenate(([0], np.cumsum(count)))
+        by[at[row[others]] + np.arange(len(others)) - before[row[others]]] = others
+        by[at[row[last]] + count[row[last]] + np.arange(len(last)) - (at - before)[row[last]]] = last
         local = np.arange(len(token)) - np.repeat(at[:-1], n)
+        cells = np.clip(1 << np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64), LEAST_CELLS, MOST_CELLS) * (n > 0)
+        cell = np.concatenate(([0], np.cumsum(cells)))
+        bits = np.zeros(cell[-1], np.uint8)
+        bits[cell[row] + (mix(token + np.uint64(3)) >> (np.uint64(64) - np.log2(cells[row]).astype(np.uint64))).astype(np.int64)] = 1
+        sketch = np.packbits(bits)
         heavy = np.where((n >= both_from) & (n > 0), prefix(n, t), 0)
         keys = token[by][local < np.repeat(heavy, n)]
         light: list = [[] for _ in range(rows)]
@@ -141,132 +162,193 @@ def signed(docs: DataFrame, words: int, t: tuple[int, int], frequent: np.ndarray
                     light[r] = x
         return table(
             doc_id=part.column("doc_id").cast(pa.int64()), th=part.column("th"), n=n.astype(np.int64), a=add(mix(token)).view(np.int64), b=add(mix(token ^ np.uint64(0x5BD1E995A5A5A5A5))).view(np.int64),
-            keys=lists(keys.view(np.int64), np.concatenate(([0], np.cumsum(heavy)))), light=pa.array(light, pa.list_(pa.int64())),
+            keys=lists(keys.view(np.int64), np.concatenate(([0], np.cumsum(heavy)))), light=pa.array(light, pa.list_(pa.int64())), sketch=binaries(sketch, cell // 8),
         )
 
-    return map_slices(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), run, "doc_id long, th long, n long, a long, b long, keys array<long>, light array<long>")
-
-
-def _pairs(t: tuple[int, int], star: int | None):
-    """A function over sorted lists (key, n, id, pos, comp): pairs to verify. A list goes on over batches.
-
-    With star: each member with the leader of its size class, drawn by a hash. Without: all pairs of different components,
-    found from the members outside a list's largest component."""
-
-    def emit(key, n, ident, pos, comp):
-        cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        size = np.diff(cuts)
+    return map_slices(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), run, "doc_id long, th long, n long, a long, b long, keys array<long>, light array<long>, sketch binary")
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap (rows x bytes) with neighbouring cells put together until it has `size` bytes a row."""
+    while bits.shape[1] > size:
+        cells = np.unpackbits(bits, axis=1)
+        bits = np.packbits(cells[:, ::2] | cells[:, 1::2], axis=1)
+    return bits
+
+
+def _crowd(n, ident, comp, bits, t: tuple[int, int], few: int | None):
+    """Pairs of one long list that the sketches leave open, of different components: for each member the few with most room
+    to spare, or all. Sketches of one width are compared block by block, and with those of twice the width, folded."""
+    width = np.array([len(x) for x in bits])
+    out = []
+    for w in np.unique(width):
+        own, other = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        cols = np.concatenate((own, other))
+        a = np.frombuffer(b"".join(bits[i] for i in own), np.uint8).reshape(len(own), w)
+        both = [a]
+        if len(other):
+            both.append(_folded(np.frombuffer(b"".join(bits[i] for i in other), np.uint8).reshape(len(other), 2 * w), w))
+        a, c = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(np.concatenate(both)).view(np.uint64)
+        full = np.bitwise_count(c).sum(1, dtype=np.int64)
+        step = max(1, (1 << 20) // max(1, c.size))
+        for k in range(0, len(own), step):
+            i = own[k : k + step]
+            shared = np.bitwise_count(a[k : k + step, None, :] & c[None, :, :]).sum(2, dtype=np.int64)
+            room = np.minimum(n[i][:, None] - full[k : k + len(i)][:, None] + shared, n[cols][None, :] - full[None, :] + shared)
+            spare = room - -(-t[0] * (n[i][:, None] + n[cols][None, :]) // (t[0] + t[1]))
+            spare[comp[i][:, None] == comp[cols][None, :]] = -1
+            spare[n[cols][None, :] * t[1] < n[i][:, None] * t[0]] = -1
+            spare[n[i][:, None] * t[1] < n[cols][None, :] * t[0]] = -1
+            if few is not None and spare.shape[1] > few:
+                keep = np.zeros(spare.shape, bool)
+                np.put_along_axis(keep, np.argpartition(-spare, few, axis=1)[:, :few], True, axis=1)
+                spare[~keep] = -1
+            r, col = np.nonzero(spare >= 0)
+            out.append(np.stack([i[r], cols[col]], 1))
+    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    return ident[pairs[:, 0]], ident[pairs[:, 1]]
+
+
+def _pairs(t: tuple[int, int], last: bool):
+    """A function over sorted lists (key, n, id, pos, comp, size, bits): pairs to look at. A list goes on over batches.
+
+    In short lists: each member with the leader of its size class; in the last round all pairs of different components.
+    In long lists see _crowd()."""
+
+    def emit(key, n, ident, pos, comp, size, bits):
         x, y = [], []
-        if star is not None:
-            grade = np.floor(np.log(n) / np.log(t[1] / t[0]) + 0.5 * star).astype(np.int64)
-            draw = mix(ident.view(np.uint64) + np.uint64(star * 77)) if star else np.zeros(len(key), np.uint64)
-            order = np.lexsort((ident, draw, grade, key))
-            head = np.ones(len(key), bool)
-            k, g = key[order], grade[order]
-            head[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1])
-            lead = order[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
-            x, y = lead[~head], order[~head]
-        else:
-            two = np.flatnonzero(size == 2)
-            x, y = [cuts[two]], [cuts[two] + 1]
-            for c in np.flatnonzero(size > 2):
-                lo, hi = cuts[c], cuts[c + 1]
-                names, inverse, counts = np.unique(comp[lo:hi], return_inverse=True, return_counts=True)
-                if len(names) == 1:
-                    continue
-                main = int(np.argmax(counts))
-                outside = np.flatnonzero(inverse != main)
-                seen = np.zeros(hi - lo, bool)
-                for o in outside:
-                    seen[o] = True
-                    other = np.flatnonzero(~seen)
-                    other = other[comp[lo + other] != comp[lo + o]]
-                    other = other[(n[lo + other] * t[1] >= n[lo + o] * t[0]) & (n[lo + o] * t[1] >= n[lo + other] * t[0])]
-                    x.append(np.full(len(other), lo + o))
-                    y.append(lo + other)
-            x, y = np.concatenate(x), np.concatenate(y)
-        ok = comp[x] != comp[y]
-        x, y = x[ok], y[ok]
-        least = -(-t[0] * (n[x] + n[y]) // (t[0] + t[1]))
-        room = np.where(pos[x] < 0, least, 1 + np.minimum(n[x] - 1 - pos[x], n[y] - 1 - pos[y]))
-        ok = (room >= least) & (least <= np.minimum(n[x], n[y]))
-        a, b = ident[x[ok]], ident[y[ok]]
+        long = np.flatnonzero(size > LONG)
+        if len(long):
+            cuts = np.flatnonzero(np.concatenate(([True], key[long][1:] != key[long][:-1], [True])))
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                mine = long[lo:hi]
+                u, v = _crowd(n[mine], ident[mine], comp[mine], [bits[i] for i in mine], t, None if last else FEW)
+                x.append(u)
+                y.append(v)
+        short = np.flatnonzero(size <= LONG)
+        key, n, ident, pos, comp = (c[short] for c in (key, n, ident, pos, comp))
+        if len(short):
+            if last:
+                # the i-th member of a list with the j-th before it, gap by gap
+                i = [np.zeros(0, np.int64)]
+                j = [np.zeros(0, np.int64)]
+                for gap in range(1, LONG):
+                    same = np.flatnonzero(key[gap:] == key[:-gap])
+                    if not len(same):
+                        break
+                    i.append(same)
+                    j.append(same + gap)
+                i, j = np.concatenate(i), np.concatenate(j)
+            else:
+                grade = np.floor(np.log(n) / np.log(t[1] / t[0])).astype(np.int64)
+                order = np.lexsort((ident, grade, key))
+                head = np.ones(len(key), bool)
+                k, g = key[order], grade[order]
+                head[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1])
+                i, j = order[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))][~head], order[~head]
+            ok = comp[i] != comp[j]
+            i, j = i[ok], j[ok]
+            least = -(-t[0] * (n[i] + n[j]) // (t[0] + t[1]))
+            room = np.where(pos[i] < 0, np.minimum(n[i], n[j]), 1 + np.minimum(n[i] - 1 - pos[i], n[j] - 1 - pos[j]))
+            ok = (room >= least) & (least <= np.minimum(n[i], n[j]))
+            x.append(ident[i[ok]])
+            y.append(ident[j[ok]])
+        if not x:
+            return table(u=np.zeros(0, np.int64), v=np.zeros(0, np.int64))
+        a, b = np.concatenate(x), np.concatenate(y)
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         return table(u=pair[:, 0], v=pair[:, 1])
 
     def run(batches):
         held = None
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "id", "pos", "comp")]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "id", "pos", "comp", "size", "bits")]
             if held is not None:
                 now = [np.concatenate(p) for p in zip(held, now, strict=True)]
             if not len(now[0]):
                 continue
-            last = int(np.searchsorted(now[0], now[0][-1], "left"))
-            if last:
-                yield emit(*(x[:last] for x in now))
-            held = [x[last:] for x in now]
+            end = int(np.searchsorted(now[0], now[0][-1], "left"))
+            if end:
+                yield emit(*(x[:end] for x in now))
+            held = [x[end:] for x in now]
         if held is not None and len(held[0]):
             yield emit(*held)
 
     return run
 
 
-def _candidates(entries: DataFrame, comps: DataFrame | None, t: tuple[int, int], star: int | None) -> DataFrame:
+def _candidates(entries: DataFrame, distinct: DataFrame, comps: DataFrame | None, t: tuple[int, int], last: bool) -> DataFrame:
     if comps is None:
         entries = entries.withColumn("comp", F.col("id"))
     else:
         entries = entries.join(comps.select("id", F.col("root")), "id", "left").withColumn("comp", F.coalesce("root", "id"))
-    dealt = entries.select("key", "n", "id", "pos", "comp").repartition("key").sortWithinPartitions("key", "n", "id")
-    return dealt.mapInArrow(_pairs(t, star), "u long, v long").distinct()
+    columns = ["key", "n", "id", "pos", "comp", "size"]
+    short = entries.where(F.col("size") <= LONG).select(*columns, F.lit(None).cast("binary").alias("bits"))
+    long = entries.where(F.col("size") > LONG).join(distinct.select("id", F.col("sketch").alias("bits")), "id").select(*columns, "bits")
+    dealt = short.unionByName(long).repartition("key").sortWithinPartitions("key", "n", "id")
+    return dealt.mapInArrow(_pairs(t, last), "u long, v long").distinct()
 
 
-def _similar(t: tuple[int, int]):
+def _possible(t: tuple[int, int]):
+    """Pairs whose sketches leave room for the intersection that they need."""
+
     def run(batches):
         for batch in batches:
             (x, xo), (y, yo) = text_bytes(batch.column("x")), text_bytes(batch.column("y"))
-            keep = []
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                p = np.frombuffer(x[xo[i] : xo[i + 1]].tobytes(), np.uint64)
-                q = np.frombuffer(y[yo[i] : yo[i + 1]].tobytes(), np.uint64)
-                inter = len(p) + len(q) - len(np.unique(np.concatenate((p, q))))
-                keep.append(t[1] * inter >= t[0] * (len(p) + len(q) - inter))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                p, q = x[None, xo[i] : xo[i + 1]], y[None, yo[i] : yo[i + 1]]
+                k = min(p.shape[1], q.shape[1])
+                p, q = _folded(p, k), _folded(q, k)
+                room = min(n[i] - int(np.bitwise_count(p & ~q).sum()), m[i] - int(np.bitwise_count(q & ~p).sum()))
+                keep[i] = room >= need(int(n[i]), int(m[i]), t)
+            yield batch.select(["u", "v"]).filter(pa.array(keep))
 
     return run
 
 
-class _Sets:
-    """Whole token sets of the sets in question, made from the texts once more where a pair needs them."""
-
-    def __init__(self, docs: DataFrame, words: int, distinct: DataFrame):
-        self.docs, self.words, self.distinct = docs, words, distinct
-
-    def of(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        wanted = cut(self.distinct.select("id", "a", "b").join(ids, "id"))
-        bits = bloom(wanted, "a", "b")
-        words = self.words
-
-        def run(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-            row, token = token_sets(data, offsets, words)
-            at = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=part.num_rows))))
-            add = lambda x: np.diff(np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))[at])
-            a, b = add(mix(token)).view(np.int64), add(mix(token ^ np.uint64(0x5BD1E995A5A5A5A5))).view(np.int64)
-            ok = np.flatnonzero(in_bloom(bits.value, a, b) & (np.diff(at) > 0))
-            _, first = np.unique(a[ok], return_index=True)
-            ok = ok[first]
-            raw = b"".join(token[at[i] : at[i + 1]].tobytes() for i in ok)
-            return table(a=a[ok], b=b[ok], tokens=binaries(raw, 8 * np.concatenate(([0], np.cumsum(np.diff(at)[ok])))))
+def _similar(t: tuple[int, int]):
+    def run(batches):
+        for batch in batches:
+            (x, xo), (y, yo) = text_bytes(batch.column("x")), text_bytes(batch.column("y"))
+            keep = []
+            for i in range(batch.num_rows):
+                both = np.sort(np.frombuffer(x[xo[i] : xo[i + 1]].tobytes() + y[yo[i] : yo[i + 1]].tobytes(), np.uint64))
+                inter = int((both[1:] == both[:-1]).sum())
+                keep.append(t[1] * inter >= t[0] * (len(both) - inter))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-        made = map_slices(self.docs.select("text"), run, "a long, b long, tokens binary")
-        return written(made.join(wanted, ["a", "b"]).dropDuplicates(["id"]).select("id", "tokens"), "sets")
+    return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    x = sets.select(F.col("id").alias("v"), F.col("tokens").alias("y"))
-    y = sets.select(F.col("id").alias("u"), F.col("tokens").alias("x"))
-    return pairs.join(x, "v").join(y, "u").select("u", "v", "x", "y").mapInArrow(_similar(t), "u long, v long")
+def _links(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words: int, t: tuple[int, int]) -> DataFrame:
+    """Of pairs (u, v), the similar ones. Whole sets are made from the texts once more, only where sketches leave it open,
+    and only from the row that stands for a set; a Bloom filter picks those rows, joins make it exact."""
+    some = distinct.select("id", "n", "sketch")
+    u = some.select(F.col("id").alias("u"), "n", F.col("sketch").alias("x"))
+    v = some.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    open_ = cut(pairs.join(u, "u").join(v, "v").select("u", "v", "n", "m", "x", "y").mapInArrow(_possible(t), "u long, v long"))
+    stands = distinct.select("id", F.xxhash64("row.doc_id", "row.th").alias("r"), F.col("row.th").alias("th"))
+    named = open_
+    for side in ("u", "v"):
+        named = named.join(stands.select(F.col("id").alias(side), F.col("r").alias(f"r{side}"), F.col("th").alias(f"t{side}")), side)
+    named = cut(named)
+    bits = bloom(named.select(F.explode(F.array(F.struct(F.col("ru").alias("r"), F.col("tu").alias("th")), F.struct(F.col("rv").alias("r"), F.col("tv").alias("th")))).alias("x")).select("x.*").distinct(), "r", "th")
+
+    def run(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch | None:
+        ok = in_bloom(bits.value, part.column("r").to_numpy(), part.column("th").to_numpy())
+        if not ok.any():
+            return None
+        part = part.filter(pa.array(ok))
+        row, token = token_sets(*text_bytes(part.column("text")), words)
+        return table(r=part.column("r"), th=part.column("th"), tokens=binaries(token.tobytes(), 8 * np.concatenate(([0], np.cumsum(np.bincount(row, minlength=part.num_rows))))))
+
+    rows = docs.select("text", F.xxhash64("text").alias("th"), "doc_id").select("text", "th", F.xxhash64("doc_id", "th").alias("r"))
+    sets = written(map_slices(rows, run, "r long, th long, tokens binary"), "sets").dropDuplicates(["r", "th"])
+    y = sets.select(F.col("r").alias("rv"), F.col("th").alias("tv"), F.col("tokens").alias("y"))
+    x = sets.select(F.col("r").alias("ru"), F.col("th").alias("tu"), F.col("tokens").alias("x"))
+    return named.join(y, ["rv", "tv"]).join(x, ["ru", "tu"]).select("u", "v", "x", "y").mapInArrow(_similar(t), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -278,22 +360,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: tuple[int, int
     empty sets, link with nothing and keep their own doc_id. Equal sets are one set from the start, so repeated rows and
     copies cost nothing more. A null doc_id is never a component's name unless there is no other. Other columns are ignored.
 
-    Links are verified on whole sets. What is skipped are pairs that are already in one component: a first few rounds
-    compare each member of a list with one leader; then all remaining pairs of different components are compared."""
+    Links are verified on whole sets. What is skipped are pairs that are already in one component: a few rounds join what is
+    joined easily; then all pairs of different components that share a list are compared."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent, per_document = statistics(docs, words)
     every = written(signed(docs, words, similar, frequent, boundary(similar, per_document)), "signed")
     full = every.where("n > 0")
-    distinct = full.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("light").alias("light"))
+    distinct = full.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("light").alias("light"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "th")).alias("row"))
     distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
     entries = distinct.select("id", "n", F.posexplode("keys").alias("pos", "key"))
     entries = entries.unionByName(distinct.select("id", "n", F.lit(-1).alias("pos"), F.explode(F.array_distinct("light")).alias("key")))
-    entries = written(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_several, "id long, n long, pos int, key long"), "entries")
-    sets = _Sets(docs, words, distinct)
+    entries = written(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_several, "id long, n long, pos int, key long, size long"), "entries")
     links, comps = None, None
-    for star in (*range(STAR_ROUNDS), None):
-        pairs = cut(_candidates(entries, comps, similar, star))
-        found = _links(pairs, sets.of(pairs), similar)
+    for turn in range(ROUNDS + 1):  # eager: each round's components thin out the next one's pairs
+        pairs = cut(_candidates(entries, distinct, comps, similar, turn == ROUNDS))
+        found = _links(pairs, distinct, docs, words, similar)
         links = cut(found if links is None else links.unionByName(found))
         comps = cut(components(links))
     named = distinct.select("id", "a", "b", "least").join(comps, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -304,7 +385,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: tuple[int, int
 
 
 def _several(batches):
-    """From entries sorted by key, those whose key has two sets at least; a key may go on over batches."""
+    """From entries sorted by key, those whose key has two sets at least, with their number; a key may go on over batches."""
     held = None
     for batch in batches:
         t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
@@ -320,9 +401,10 @@ def _several(batches):
 
 def _doubled(t: pa.Table, key: np.ndarray):
     if len(key) > 1:
-        same = key[1:] == key[:-1]
-        keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        count = np.diff(np.append(first, len(key)))
+        size = np.repeat(count, count)
+        yield from t.append_column("size", pa.array(size)).filter(pa.array(size > 1)).combine_chunks().to_batches()
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
