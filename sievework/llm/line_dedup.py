@@ -65,7 +65,8 @@ def repeated(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_C
     suffixes = cut(whole.join(classes, ["a", "b"]).select(*DOC, "pos", "chars", "rank", "n"))
     firsts = _repeats(suffixes, ["rank"]).select("rank", "first")
     later = F.struct(*DOC, "pos") > F.col("first")
-    out = suffixes.where(F.col("chars") >= min_chars).join(firsts, "rank").where(later).select(*DOC, F.col("pos").alias("start"), (F.col("pos") + 1).alias("stop"))
+    alone = F.lit(True) if min_lines <= 1 else F.col("chars") >= min_chars
+    out = suffixes.where(alone).join(firsts, "rank").where(later).select(*DOC, F.col("pos").alias("start"), (F.col("pos") + 1).alias("stop"))
     reached = 1
     total = suffixes.agg(F.count(F.lit(1))).first()[0]
     while reached < min_lines:

@@ -17,10 +17,14 @@ WINDOW = 32
 STRIDE = 16
 #: The network learns from at most so many labelled documents, those of the least hashes.
 MOST_ROWS = 4_000
-#: Known words at most; each needs 3 training documents. All others share one vector and are told apart by characters.
-MOST_WORDS = 32_768
+#: Known words at most; each needs 3 training documents, and to be toxic ones' more or less often than others are, by so many
+#: standard deviations. All others share one vector and are told apart by characters.
+MOST_WORDS, TELLING = 32_768, 2.0
+#: Decay of vectors towards zero in each step of training, in learning rates; without it few documents are learnt by heart.
+DECAY = {"word": 0.05, "char": 0.3}
 WORD_SIZE, CHAR_SIZE, HIDDEN, CHAR_BUCKETS = 8, 4, 8, 2048
-EPOCHS = 6
+#: Times that the worst windows are found anew, and steps of training at least, however few documents there are.
+EPOCHS, STEPS = 6, 420
 CHUNK = 4096
 #: Lower case for A-Z; other bytes stay. Words are runs of ASCII letters and of bytes of characters beyond ASCII.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -210,7 +214,7 @@ def _train(texts: list[bytes], y: np.ndarray) -> Network:
     df = np.bincount(word, minlength=len(found))
     rate = y.mean() if rows else 0.0
     z = (np.bincount(word, weights=y[of], minlength=len(found)) - df * rate) / np.sqrt(df * rate + 1)
-    known = np.flatnonzero(df >= 3)
+    known = np.flatnonzero((df >= 3) & (np.abs(z) > TELLING))
     if len(known) > MOST_WORDS:
         known = np.sort(known[np.argsort(-np.abs(z[known]), kind="stable")[:MOST_WORDS]])
     net = Network(found[known], np.stack([np.tanh(z[known] / 8), np.tanh(z[known] / 3)], 1))
@@ -221,9 +225,12 @@ def _train(texts: list[bytes], y: np.ndarray) -> Network:
     mine = net.number(found)
     score = np.maximum.reduceat(np.append(np.where(mine[number] < len(known), np.append(z[known], 0)[mine[number]], 0), 0), np.stack([first, first + length], 1).ravel())[::2]
     rng = np.random.default_rng(5)
+    start = {"word": net.p["word"].copy()}
     m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
-    for epoch in range(EPOCHS):
-        if epoch:
+    batches = -(-2 * len(np.unique(row)) // 128)
+    turns = -(-max(EPOCHS * batches, STEPS) // batches)
+    for turn in range(turns):
+        if turn and turn % max(1, turns // EPOCHS) == 0:
             gates = net.gates(net.inputs(mine, grams, at))
             steps = np.arange(WINDOW)[:, None]
             score = np.zeros(len(row), np.float32)
@@ -248,7 +255,7 @@ def _train(texts: list[bytes], y: np.ndarray) -> Network:
                     g[-1] = 0
                 m[name] += 0.1 * (g - m[name])
                 v[name] += 0.01 * (g * g - v[name])
-                net.p[name] -= 0.01 * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)
+                net.p[name] -= 0.01 * (m[name] / (1 - 0.9**step) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6) + DECAY.get(name, 0.01) * (net.p[name] - start.get(name, 0)))
     return net
 
 
