@@ -20,13 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.llm.common import bloom, cut, in_bloom, map_slices, mix, slices, table, written
+from sievework.llm.common import bloom, cut, drop_written, in_bloom, map_slices, mix, slices, table, written
 
 DOC = ["doc_id", "th"]
 #: Hashes are dealt to buckets by their first bits: so many buckets at least, and no more than so many bytes of text for each.
 LEAST_BUCKETS, BUCKET_TEXT = 256, 16 << 20
 #: A task sends its hashes after so many bytes of text; within a bucket a hash is told by so many further bits.
-FLUSH_TEXT, KEY_BITS = 16 << 20, 38
+FLUSH_TEXT, KEY_BITS = 8 << 20, 38
 #: Positions within a slice have so many bits in an anchor's rank, hashes the rest.
 AT_BITS = 30
 
@@ -67,15 +67,23 @@ def blocks(t: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, t.hash(at, at + k, 1)
 
 
-def stretches(t: Tokens, s: Scheme, live: Callable[[np.ndarray], np.ndarray] | None):
-    """Row, first window, windows, anchor (first token) and anchor's hash of every stretch; with live, only blocks for which
-    that holds can be anchors (grid), or only stretches of such anchors are kept."""
+def stretches(t: Tokens, s: Scheme, live: "Live | None"):
+    """Row, first window, windows, anchor (first token) and anchor's hash of every stretch. With live, a window counts only
+    if its anchor is live; and on a grid, only live blocks can be anchors and all blocks of the window must occur again."""
     at, h = blocks(t, s.block)
     total = int(t.before[-1])
     rank = np.full(total, np.iinfo(np.uint64).max, np.uint64)
     value = np.zeros(total, np.uint64)
     value[at] = h
-    chosen = np.ones(len(at), bool) if live is None or not s.grid else live(h)
+    chosen = np.ones(len(at), bool)
+    again = None
+    if live is not None and s.grid:
+        repeated = live.again(h)
+        chosen[:] = False
+        chosen[repeated] = live.hit(h[repeated])
+        again = np.zeros(total, np.int8)
+        again[at[repeated]] = 1
+        again = sliding_min(again, s.window - s.block + 1) if total > s.window - s.block else again[:0]
     rank[at[chosen]] = (mix(h[chosen] + np.uint64(9)) >> np.uint64(AT_BITS) << np.uint64(AT_BITS)) | at[chosen].astype(np.uint64)
     n = np.maximum(np.diff(t.before) - s.window + 1, 0)
     start = np.repeat(t.before[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -83,6 +91,8 @@ def stretches(t: Tokens, s: Scheme, live: Callable[[np.ndarray], np.ndarray] | N
         none = np.zeros(0, np.int64)
         return none, none, none, none, none.astype(np.uint64)
     least = sliding_min(rank, s.window - s.block + 1)[start]
+    if again is not None:
+        least[again[start] == 0] = np.iinfo(np.uint64).max
     row = np.repeat(np.arange(len(n)), n)
     fresh = np.ones(len(start), bool)
     fresh[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
@@ -93,7 +103,7 @@ def stretches(t: Tokens, s: Scheme, live: Callable[[np.ndarray], np.ndarray] | N
     anchor = (least[first] & np.uint64((1 << AT_BITS) - 1)).astype(np.int64)
     hashes = value[anchor]
     if live is not None and not s.grid:
-        ok = live(hashes)
+        ok = live.hit(hashes)
         first, size, anchor, hashes = first[ok], size[ok], anchor[ok], hashes[ok]
     return row[first], start[first], size, anchor, hashes
 
@@ -133,9 +143,27 @@ def _names(prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(prefix + np.uint64(1)).view(np.int64), mix(prefix ^ np.uint64(0xA5A5A5A5)).view(np.int64)
 
 
-def live_blocks(docs: DataFrame, s: Scheme) -> tuple[object, int]:
-    """A Bloom filter of the blocks that occur again: with a grid, blocks on it that any other place of any text, probed at
-    every token, repeats; without, anchors that occur twice. Also how many first bits of a hash it goes by."""
+@dataclass
+class Live:
+    """What is known of blocks, as Bloom filters by a hash's first bits: hits are blocks on the grid that another place, probed
+    at every token of every text, repeats (without a grid: anchors that occur twice); repeated are all blocks that do."""
+
+    hits: object
+    repeated: object
+    bits: int
+
+    def _in(self, filter_, h: np.ndarray) -> np.ndarray:
+        return in_bloom(filter_.value, *_names(h >> np.uint64(64 - self.bits - KEY_BITS)))
+
+    def hit(self, h: np.ndarray) -> np.ndarray:
+        return self._in(self.hits, h)
+
+    def again(self, h: np.ndarray) -> np.ndarray:
+        return self._in(self.repeated, h)
+
+
+def live_blocks(docs: DataFrame, s: Scheme) -> Live:
+    """Send the hashes of all blocks (grid) or anchors to buckets, and see there which occur again."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(LEAST_BUCKETS, int(size) // BUCKET_TEXT).bit_length() - 1 + (int(size) // BUCKET_TEXT > LEAST_BUCKETS)
 
@@ -168,17 +196,26 @@ def live_blocks(docs: DataFrame, s: Scheme) -> tuple[object, int]:
 
     def meet(part: pa.Table) -> pa.Table:
         bucket = part.column("bucket")[0].as_py()
-        all_ = np.sort(np.concatenate([_unpack(x) for x in part.column("hashes").to_pylist()]))
+        all_ = np.concatenate([_unpack(x.as_py()) for x in part.column("hashes")])
+        all_.sort()
         key = all_ >> np.uint64(2)
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         flags = np.bitwise_or.reduceat(all_ & np.uint64(3), first)
         again = (np.diff(np.append(first, len(key))) > 1) | (flags & np.uint64(2) > 0)
-        live = key[first[again & (flags & np.uint64(1) > 0)]] | np.uint64(bucket << KEY_BITS)
-        a, b = _names(live)
-        return pa.table({"a": a, "b": b})
+        live = key[first[again]] | np.uint64(bucket << KEY_BITS)
+        return pa.table({"live": live.view(np.int64), "hit": flags[again] & np.uint64(1) > 0})
 
-    found = cut(docs.select("text").mapInArrow(send, "bucket long, hashes binary").groupBy("bucket").applyInArrow(meet, "a long, b long"))
-    return bloom(found, "a", "b"), bits
+    def named(batches):
+        for batch in batches:
+            a, b = _names(batch.column("live").to_numpy().view(np.uint64))
+            yield table(a=a, b=b)
+
+    sent = docs.select("text").mapInArrow(send, "bucket long, hashes binary")
+    found = written(sent.groupBy("bucket").applyInArrow(meet, "live long, hit boolean"), "live")
+    make = lambda df: bloom(df.select("live").mapInArrow(named, "a long, b long"), "a", "b")
+    out = Live(make(found.where("hit")), make(found) if s.grid else None, bits)
+    drop_written(found)
+    return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -186,16 +223,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
-def _test(filter_, bits: int) -> Callable[[np.ndarray], np.ndarray]:
-    return lambda h: in_bloom(filter_.value, *_names(h >> np.uint64(64 - bits - KEY_BITS)))
-
-
-def stretch_table(docs: DataFrame, s: Scheme, filter_, bits: int) -> DataFrame:
+def stretch_table(docs: DataFrame, s: Scheme, live: Live) -> DataFrame:
     """anchor, body (hashes of the anchor and of the whole stretch), doc_id, th, start, windows."""
 
     def run(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         t = s.tokens(data, offsets)
-        row, start, size, _, h = stretches(t, s, _test(filter_, bits))
+        row, start, size, _, h = stretches(t, s, live)
         body = t.hash(start, start + size + s.window - 1, 2)
         ids = part.select(DOC).take(pa.array(row))
         return table(anchor=h.view(np.int64), body=body.view(np.int64), doc_id=ids.column(0), th=ids.column(1), start=start - t.before[row], windows=size)
@@ -203,12 +236,12 @@ def stretch_table(docs: DataFrame, s: Scheme, filter_, bits: int) -> DataFrame:
     return map_slices(keyed(docs), run, "anchor long, body long, doc_id long, th long, start long, windows long")
 
 
-def contents(docs: DataFrame, s: Scheme, filter_, bits: int, wanted, content: Callable, kind: str) -> DataFrame:
+def contents(docs: DataFrame, s: Scheme, live: Live, wanted, content: Callable, kind: str) -> DataFrame:
     """The stretches whose anchor the filter `wanted` lets through, with `content` made of their tokens."""
 
     def run(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         t = s.tokens(data, offsets)
-        row, start, size, _, h = stretches(t, s, _test(filter_, bits))
+        row, start, size, _, h = stretches(t, s, live)
         ok = in_bloom(wanted.value, h.view(np.int64), mix(h).view(np.int64))
         row, start, size, h = row[ok], start[ok], size[ok], h[ok]
         ids = part.select(DOC).take(pa.array(row))
@@ -223,11 +256,10 @@ def place(start: Column | str = "start") -> Column:
 
 
 def covered(docs: DataFrame, s: Scheme, content: Callable, kind: str, compare: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """doc_id, th, start, stop (tokens): every window whose tokens also start earlier lies in one of these, and nothing
-    else does. compare(table, window) gets stretches (anchor, doc_id, th, start, content) that share an anchor and differ,
+    """doc_id, th, spans (tokens): what the windows cover whose tokens also start earlier, as maximal runs (start, stop). compare(table, window) gets stretches (anchor, doc_id, th, start, content) that share an anchor and differ,
     and returns the windows (doc_id, th, start) that start earlier in another of them."""
-    filter_, bits = live_blocks(docs, s)
-    every = written(stretch_table(docs, s, filter_, bits), "stretches")
+    live = live_blocks(docs, s)
+    every = written(stretch_table(docs, s, live), "stretches")
     groups = every.groupBy("anchor", "body", "windows").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n"))
     groups = cut(groups)
     back = groups.where("n > 1").select("anchor", "body", "windows", F.col("first"))
@@ -242,11 +274,13 @@ def covered(docs: DataFrame, s: Scheme, content: Callable, kind: str, compare: C
             yield table(a=h, b=mix(h.view(np.uint64)).view(np.int64))
 
     wanted = bloom(leaders.select("anchor").distinct().mapInArrow(second, "a long, b long"), "a", "b")
-    found = contents(docs, s, filter_, bits, wanted, content, kind)
+    found = contents(docs, s, live, wanted, content, kind)
     same = [found[c].eqNullSafe(leaders[c]) for c in ("anchor", "doc_id", "th", "start")]
     met = found.join(leaders, same[0] & same[1] & same[2] & same[3], "left_semi").dropDuplicates(["anchor", *DOC, "start"])
     single = compare(met, s.window)
-    return out.unionByName(single.select(*DOC, "start", (F.col("start") + s.window).alias("stop")))
+    out = written(runs(out.unionByName(single.select(*DOC, "start", (F.col("start") + s.window).alias("stop")))), "runs")
+    drop_written(every)
+    return out
 
 
 def runs(intervals: DataFrame) -> DataFrame:
@@ -258,9 +292,9 @@ def runs(intervals: DataFrame) -> DataFrame:
     return merged.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
-def with_spans(docs: DataFrame, intervals: DataFrame) -> DataFrame:
+def with_spans(docs: DataFrame, covered_: DataFrame) -> DataFrame:
     """keyed(docs) and spans (empty where nothing is covered)."""
-    gone = runs(intervals).select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), "spans")
+    gone = covered_.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), "spans")
     rows = keyed(docs)
     both = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["th"] == gone["gone_th"]), "left")
     return both.select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("spans"))

@@ -53,7 +53,7 @@ def _compare(met: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, th, start, stop (words): together exactly the words inside a window whose words also start earlier."""
+    """doc_id, th, spans (words): exactly the words inside a window whose words also start earlier."""
     block = window // 2  # two blocks less a word fit in a window wherever the grid lies
     return covered(docs, Scheme(word_tokens, window, block, True), _window_hashes(window), "array<long>", _compare)
 

@@ -98,7 +98,7 @@ def _compare(met: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_bytes(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """doc_id, th, start, stop (bytes): together exactly the bytes inside a string of `window` bytes that also starts earlier."""
+    """doc_id, th, spans (bytes): exactly the bytes inside a string of `window` bytes that also starts earlier."""
     return covered(docs, Scheme(byte_tokens, window, block, False), _bytes(window), "binary", _compare)
 
 
