@@ -41,12 +41,18 @@ class Tokens:
 
 @dataclass
 class Scheme:
-    """What tokens are, the window, the block, and whether blocks to be met again lie on a fixed grid (else the anchors do)."""
+    """What tokens are, the window, the block, and whether the blocks to be met again lie on a fixed grid (else they are the
+    anchors). All blocks of a window that repeats occur again; without a grid that is asked of one in `sample` blocks, which
+    their content picks."""
 
     tokens: Callable[[np.ndarray, np.ndarray], Tokens]
     window: int
     block: int
     grid: bool
+    sample: int = 1
+
+    def sampled(self, h: np.ndarray) -> np.ndarray:
+        return mix(h ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(self.sample) == 0
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -69,7 +75,7 @@ def blocks(t: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def stretches(t: Tokens, s: Scheme, live: "Live | None"):
     """Row, first window, windows, anchor (first token) and anchor's hash of every stretch. With live, a window counts only
-    if its anchor is live; and on a grid, only live blocks can be anchors and all blocks of the window must occur again."""
+    if its anchor is live and all its blocks (the sampled ones) occur again; on a grid only live blocks can be anchors."""
     at, h = blocks(t, s.block)
     total = int(t.before[-1])
     rank = np.full(total, np.iinfo(np.uint64).max, np.uint64)
@@ -77,10 +83,13 @@ def stretches(t: Tokens, s: Scheme, live: "Live | None"):
     value[at] = h
     chosen = np.ones(len(at), bool)
     again = None
-    if live is not None and s.grid:
-        repeated = live.again(h)
-        chosen[:] = False
-        chosen[repeated] = live.hit(h[repeated])
+    if live is not None:
+        some = np.ones(len(h), bool) if s.grid else s.sampled(h)
+        repeated = ~some
+        repeated[some] = live.again(h[some])
+        if s.grid:
+            chosen[:] = False
+            chosen[repeated] = live.hit(h[repeated])
         again = np.zeros(total, np.int8)
         again[at[repeated]] = 1
         again = sliding_min(again, s.window - s.block + 1) if total > s.window - s.block else again[:0]
@@ -146,7 +155,8 @@ def _names(prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Live:
     """What is known of blocks, as Bloom filters by a hash's first bits: hits are blocks on the grid that another place, probed
-    at every token of every text, repeats (without a grid: anchors that occur twice); repeated are all blocks that do."""
+    at every token of every text, repeats (without a grid: anchors that occur twice); repeated are all blocks that do, of the
+    sampled ones without a grid."""
 
     hits: object
     repeated: object
@@ -172,10 +182,14 @@ def live_blocks(docs: DataFrame, s: Scheme) -> Live:
         if s.grid:
             at, h = blocks(t, s.block)
             return h, (at - t.before[np.searchsorted(t.before, at, "right") - 1]) % s.block == 0
-        _, _, _, anchor, h = stretches(t, s, None)
-        # a stretch may begin again at its anchor in the same text: count places, not stretches
-        h = h[np.unique(anchor, return_index=True)[1]] if len(anchor) else h
-        return h, np.ones(len(h), bool)
+        # anchors and sampled blocks, each place once
+        _, _, _, anchor, _ = stretches(t, s, None)
+        at, h = blocks(t, s.block)
+        there = np.zeros(int(t.before[-1]), bool)
+        there[anchor] = True
+        hit = there[at]
+        some = hit | s.sampled(h)
+        return h[some], hit[some]
 
     def send(batches):
         held, size = [], 0
@@ -213,7 +227,7 @@ def live_blocks(docs: DataFrame, s: Scheme) -> Live:
     sent = docs.select("text").mapInArrow(send, "bucket long, hashes binary")
     found = written(sent.groupBy("bucket").applyInArrow(meet, "live long, hit boolean"), "live")
     make = lambda df: bloom(df.select("live").mapInArrow(named, "a long, b long"), "a", "b")
-    out = Live(make(found.where("hit")), make(found) if s.grid else None, bits)
+    out = Live(make(found.where("hit")), make(found), bits)
     drop_written(found)
     return out
 

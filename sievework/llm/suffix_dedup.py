@@ -18,6 +18,8 @@ from sievework.llm.repeats import DOC, Scheme, Tokens, covered, place, with_span
 
 #: Bytes that make a repeat, and bytes in an anchor.
 WINDOW, BLOCK = 100, 40
+#: One in so many blocks is looked up to see whether a window can repeat at all.
+SAMPLE = 8
 #: Bytes of stretches gathered in one task's group, and different stretches of one anchor from which on windows are dealt singly.
 GROUP, CROWDED = 2 << 20, 512
 
@@ -99,7 +101,7 @@ def _compare(met: DataFrame, window: int) -> DataFrame:
 
 def repeated_bytes(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id, th, spans (bytes): exactly the bytes inside a string of `window` bytes that also starts earlier."""
-    return covered(docs, Scheme(byte_tokens, window, block, False), _bytes(window), "binary", _compare)
+    return covered(docs, Scheme(byte_tokens, window, block, False, SAMPLE), _bytes(window), "binary", _compare)
 
 
 def _keep(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
