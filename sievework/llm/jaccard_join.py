@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import WHITE, Prefix, binaries, bloom, cut, in_bloom, lists, map_slices, mix, slices, table, text_bytes, words_of, written
+from sievework.llm.common import WHITE, Prefix, binaries, bloom, cut, drop_written, in_bloom, lists, map_slices, mix, slices, table, text_bytes, words_of, written
 from sievework.llm.graph import components
 
 #: Words in a shingle, and the similarity as a fraction, where a caller names none.
@@ -345,10 +345,13 @@ def _links(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words: int, t
         return table(r=part.column("r"), th=part.column("th"), tokens=binaries(token.tobytes(), 8 * np.concatenate(([0], np.cumsum(np.bincount(row, minlength=part.num_rows))))))
 
     rows = docs.select("text", F.xxhash64("text").alias("th"), "doc_id").select("text", "th", F.xxhash64("doc_id", "th").alias("r"))
-    sets = written(map_slices(rows, run, "r long, th long, tokens binary"), "sets").dropDuplicates(["r", "th"])
+    made = written(map_slices(rows, run, "r long, th long, tokens binary"), "sets")
+    sets = made.dropDuplicates(["r", "th"])
     y = sets.select(F.col("r").alias("rv"), F.col("th").alias("tv"), F.col("tokens").alias("y"))
     x = sets.select(F.col("r").alias("ru"), F.col("th").alias("tu"), F.col("tokens").alias("x"))
-    return named.join(y, ["rv", "tv"]).join(x, ["ru", "tu"]).select("u", "v", "x", "y").mapInArrow(_similar(t), "u long, v long").distinct()
+    out = cut(named.join(y, ["rv", "tv"]).join(x, ["ru", "tu"]).select("u", "v", "x", "y").mapInArrow(_similar(t), "u long, v long").distinct())
+    drop_written(made)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -377,6 +380,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: tuple[int, int
         found = _links(pairs, distinct, docs, words, similar)
         links = cut(found if links is None else links.unionByName(found))
         comps = cut(components(links))
+    drop_written(entries)
     named = distinct.select("id", "a", "b", "least").join(comps, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("a", "b", "root", "component_id")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
