@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -34,9 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def trim() -> None:
+    """Give freed memory back to the system where the C library can; it keeps what many arrays of many sizes have left."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: it does so once the driver has collected their handles."""
     gc.collect()
+    trim()
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
@@ -110,6 +120,7 @@ def map_slices(df: DataFrame, f: Callable, schema: str | StructType, column: str
             for part, data, offsets in slices(batch, column, most):
                 if (out := f(part, data, offsets)) is not None and out.num_rows:
                     yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 

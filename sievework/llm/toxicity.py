@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import Prefix, map_slices, mix, remainder, table, text_bytes, words_of
+from sievework.llm.common import Prefix, map_slices, mix, release, remainder, table, text_bytes, words_of
 
 #: Words in a window, and from one window's start to the next.
 WINDOW = 32
 STRIDE = 16
 #: The network learns from at most so many labelled documents, those of the least hashes.
-MOST_ROWS = 4_000
+MOST_ROWS = 3_000
 #: Known words at most; each needs 3 training documents, and to be toxic ones' more or less often than others are, by so many
 #: standard deviations. All others share one vector and are told apart by characters.
 MOST_WORDS, TELLING = 32_768, 2.0
@@ -269,7 +269,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Netwo
     data, offsets = text_bytes(got.column("text"))
     texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     once = dict(zip(reversed(texts), reversed(got.column("toxic").to_pylist()), strict=True))
-    return _train(list(once), np.array(list(once.values()), np.float32))
+    net = _train(list(once), np.array(list(once.values()), np.float32))
+    release(docs.sparkSession)
+    return net
 
 
 def _worst(state: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
