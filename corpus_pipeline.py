@@ -1,7 +1,7 @@
 """Cleaning and mixing of a training corpus in stages, each over all that the one before has kept.
 
 toxicity          documents that the network scores at 0.5 or more go
-line_dedup        later copies of repeated line runs are cut out of the texts; a text of which nothing is left goes
+line_dedup        later copies of repeated line runs (3 lines, a line of 200 characters, or over 50 words) are cut out of the texts; a text of which nothing is left goes
 near_duplicates   of each component of documents with 5-word similarity of 0.8 or more, one stays
 decontaminate     documents with 10 consecutive words of a benchmark item go
 mix               documents are drawn to the target weights of their sources, in permuted blocks
@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(docs)
+    out = line_dedup.line_dedup(docs, min_words=line_dedup.MIN_WORDS)
     left = F.col("text").isNull() | (F.col("text") != "") | (F.size("dedup_runs") == 0)
     out = out.where(left).drop("dedup_runs")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

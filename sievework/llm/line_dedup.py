@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.llm.common import cut
+from sievework.llm.common import WORD_RE, cut
 
 #: A repeat is deleted if it has so many lines, or is one line of so many characters.
 MIN_LINES = 3
 MIN_CHARS = 200
+#: The pipeline also deletes a repeat of fewer lines if they have so many words: a passage of over 50 words.
+MIN_WORDS = 51
 #: Buckets of the sort that numbers the classes; their sizes are summed in one small window.
 BUCKETS = 4096
 
@@ -38,10 +40,10 @@ def _line(text: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text: rows of one doc_id and text are one document), pos, two hashes and the characters of
-    each line. A null text has no lines, an empty one has one."""
+    """doc_id, th (hash of the text: rows of one doc_id and text are one document), pos, two hashes, the characters and
+    the words of each line. A null text has no lines, an empty one has one."""
     out = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(_line(F.col("text"))).alias("pos", "line"))
-    return out.select(*DOC, F.col("pos").cast("long").alias("pos"), F.xxhash64(F.lit(1), "line").alias("a"), F.xxhash64(F.lit(2), "line").alias("b"), F.length("line").alias("chars"))
+    return out.select(*DOC, F.col("pos").cast("long").alias("pos"), F.xxhash64(F.lit(1), "line").alias("a"), F.xxhash64(F.lit(2), "line").alias("b"), F.length("line").alias("chars"), F.regexp_count("line", F.lit(WORD_RE)).cast("long").alias("words"))
 
 
 def _repeats(suffixes: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,34 +53,53 @@ def _repeats(suffixes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _ahead(suffixes: DataFrame, by: int) -> DataFrame:
-    """ahead: the rank of the suffix `by` lines further on in the same document; null where that is discarded or absent."""
+    """ahead: the rank of the suffix `by` lines further on in the same document, where that is not discarded or absent; `to`,
+    if there, becomes that suffix's."""
     frame = Window.partitionBy(*DOC).orderBy("pos").rangeBetween(by, by)
-    return suffixes.withColumn("ahead", F.max("rank").over(frame)).where(F.col("ahead").isNotNull())
+    out = {c: F.max(c).over(frame) for c in ("to",) if c in suffixes.columns}
+    return suffixes.withColumns({"ahead": F.max("rank").over(frame), **out}).where(F.col("ahead").isNotNull())
 
 
-def repeated(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+def _words(suffixes: DataFrame) -> DataFrame:
+    """at, to: the words before and up to the end of a suffix's line, less those of lines that are discarded, of which no run
+    has any. Rows of one document are as many for each of its lines."""
+    order = Window.partitionBy(*DOC).orderBy("pos")
+    copies = F.count(F.lit(1)).over(order.rangeBetween(0, 0))
+    to = (F.sum("words").over(order.rangeBetween(Window.unboundedPreceding, 0)) / copies).cast("long")
+    return suffixes.withColumn("to", to).withColumn("at", F.col("to") - F.col("words")).drop("words")
+
+
+def repeated(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, min_words: int | None = None) -> DataFrame:
     """doc_id, th, start, stop (lines, stop excluded): the later copies of repeats; they may overlap."""
+    sized = [] if min_words is None else ["at", "to"]
+    enough = F.lit(False) if min_words is None else F.col("to") - F.col("at") >= min_words
     whole = lines(docs)
     # by one line: lines that occur once are discarded before anything is sorted
     counted = whole.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     classes = _ranked(counted, ["a", "b"], F.shiftright(F.col("a"), 52))
-    suffixes = cut(whole.join(classes, ["a", "b"]).select(*DOC, "pos", "chars", "rank", "n"))
+    suffixes = whole.join(classes, ["a", "b"]).select(*DOC, "pos", "chars", "rank", "n", *(["words"] if sized else []))
+    suffixes = cut(_words(suffixes) if sized else suffixes)
     firsts = _repeats(suffixes, ["rank"]).select("rank", "first")
     later = F.struct(*DOC, "pos") > F.col("first")
-    alone = F.lit(True) if min_lines <= 1 else F.col("chars") >= min_chars
+    alone = F.lit(True) if min_lines <= 1 else (F.col("chars") >= min_chars) | enough
     out = suffixes.where(alone).join(firsts, "rank").where(later).select(*DOC, F.col("pos").alias("start"), (F.col("pos") + 1).alias("stop"))
     reached = 1
     total = suffixes.agg(F.count(F.lit(1))).first()[0]
     while reached < min_lines:
         step = min(reached, min_lines - reached)
-        pairs = _ahead(suffixes, step).select(*DOC, "pos", F.col("rank").alias("r"), "ahead", F.col("n").alias("of"))
-        found = _repeats(pairs, ["r", "ahead", "of"])
+        # words also need the lengths that the doubling leaps over
+        for by in range(1 if sized else step, step + 1):
+            pairs = _ahead(suffixes, by).select(*DOC, "pos", F.col("rank").alias("r"), "ahead", F.col("n").alias("of"), *sized)
+            found = _repeats(pairs, ["r", "ahead", "of"])
+            if sized and reached + by < min_lines:
+                runs = pairs.where(enough).join(found, ["r", "ahead", "of"]).where(later)
+                out = out.unionByName(runs.select(*DOC, F.col("pos").alias("start"), (F.col("pos") + reached + by).alias("stop")))
         reached += step
         if reached < min_lines:
             # a class's place in the order is near r + of * ahead / total, which does not fall as (r, ahead) rises
             place = (F.col("r") + F.col("of") * F.col("ahead") / max(total, 1)) * BUCKETS / max(total, 1)
             classes = _ranked(found.select("r", "ahead", "of", "n"), ["r", "ahead"], F.floor(place))
-            suffixes = cut(pairs.join(classes, ["r", "ahead", "of"]).select(*DOC, "pos", "rank", "n"))
+            suffixes = cut(pairs.join(classes, ["r", "ahead", "of"]).select(*DOC, "pos", "rank", "n", *sized))
         else:
             runs = pairs.join(found, ["r", "ahead", "of"]).where(later)
             out = out.unionByName(runs.select(*DOC, F.col("pos").alias("start"), (F.col("pos") + min_lines).alias("stop")))
@@ -95,17 +116,17 @@ def _runs(covered: DataFrame) -> DataFrame:
     return merged.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("dedup_runs"))
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, min_words: int | None = None) -> DataFrame:
     """docs with text less its later copies of repeated line runs, and dedup_runs, the deleted runs (start, stop) in lines.
 
-    A run of min_lines lines, or one line of min_chars characters, is a later copy if the same lines also start earlier:
-    in a row of a smaller doc_id (null first, equal ones by hash of the text), or further up in the same text. Runs are
+    A run of min_lines lines, or one line of min_chars characters, or with min_words a run of any length with so many words,
+    is a later copy if the same lines also start earlier: in a row of a smaller doc_id (null first, equal ones by hash of the text), or further up in the same text. Runs are
     judged on the input. Lines are what newlines part; they are compared as they are, empty ones too. A null text stays
     null, an empty one empty; a text of which all lines go becomes empty. Rows that agree in doc_id and text are one
     document and are treated alike. Other columns stay."""
     docs = docs.drop("dedup_runs")
     keyed = docs.withColumn("dedup_th", F.xxhash64("text"))
-    gone = _runs(repeated(docs, min_lines, min_chars)).select(F.col("doc_id").alias("dedup_id"), F.col("th").alias("dedup_h"), "dedup_runs")
+    gone = _runs(repeated(docs, min_lines, min_chars, min_words)).select(F.col("doc_id").alias("dedup_id"), F.col("th").alias("dedup_h"), "dedup_runs")
     both = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["dedup_id"]) & (F.col("dedup_th") == F.col("dedup_h")), "left")
     kept = F.filter(_line(F.col("text")), lambda x, i: ~F.exists("dedup_runs", lambda r: (i >= r["start"]) & (i < r["stop"])))
     text = F.when(F.col("dedup_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -58,6 +58,15 @@ def test_stages(spark, planted):
     assert all(r.n_chars == len(r.text or "") or r.n_chars is None or r.text is None for r in rows.collect())
 
 
+def test_passages_on_two_lines_are_cut(spark):
+    line = lambda c, n=30: " ".join(f"{c}{i}" for i in range(n))
+    passage, short = f"{line('a')}\n{line('b')}", f"{line('c', 20)}\n{line('d', 20)}"
+    docs = [(1, f"{line('e')}\n{passage}"), (2, f"{passage}\n{line('f')}"), (3, passage), (4, short), (5, short)]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeated_lines(spark, docs, "").collect()}
+    assert got == {1: docs.where("doc_id = 1").first().text, 2: line("f"), 4: short, 5: short}
+
+
 def test_run(spark, planted):
     folder, *_ = planted
     out = corpus_pipeline.run(spark, folder)

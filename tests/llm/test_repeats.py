@@ -57,6 +57,26 @@ def test_lines(frame, corpus, k, chars):
         assert got[d] == (want, covered), d
 
 
+@pytest.mark.parametrize("k,words", [(3, 51), (3, 24), (5, 33), (6, 40), (1, 51)])
+def test_passages_of_few_lines(spark, corpus, k, words):
+    """A repeat of fewer lines than k goes if it has enough words, on however many lines."""
+    word = iter(range(10**6))
+    line = lambda n: " ".join(f"w{next(word)}" for _ in range(n))
+    passages = [f"{line(30)}\n{line(30)}", f"{line(25)}\n{line(25)}", line(55).replace("w", ""), f"{line(11)}\n{line(12)}\n{line(12)}", "\n".join(line(9) for _ in range(5))]
+    docs = corpus + [(1000 + i, f"{line(4)}\n{p}\n{line(4)}") for i, p in enumerate(passages * 2)] + [(2000 + i, passages[0]) for i in (0, 0, 1)]
+
+    def windows(t):
+        ls = t.split("\n") if t is not None else []
+        size = [len(WORD.findall(x)) for x in ls]
+        return [(i, i + h, tuple(ls[i : i + h])) for h in range(1, k + 1) for i in range(len(ls) - h + 1) if h == k or sum(size[i : i + h]) >= words]
+
+    got = {}
+    for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), k, 10**6, words).collect():
+        got.setdefault(r.doc_id, set()).add((r.text, frozenset(i for run in r.dedup_runs for i in range(run.start, run.stop))))
+    for d, t, covered in later(sorted(set(docs), key=lambda x: x[0]), windows):
+        assert got[d] == {(None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in covered), frozenset(covered))}, d
+
+
 @pytest.mark.parametrize("digest", [suffix_dedup.digest, substring_dedup.digest, line_dedup.digest])
 def test_edges(digest, empty, odd):
     assert digest(empty).count() == 0
