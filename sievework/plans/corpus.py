@@ -206,7 +206,16 @@ def role_antijoin(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_shipdate < o_orderdate THEN 'early' END, CASE WHEN l_quantity > 45 THEN 'bulk' END, CASE WHEN o_orderstatus <> l_linestatus THEN 'status' END) AS reasons FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1")
 def provenance_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    o, l = b.read(spark, sf, "orders"), b.read(spark, sf, "lineitem").where("l_linenumber = 1")  # noqa: E741
+    return _provenance(b.read(spark, sf, "orders"), b.read(spark, sf, "lineitem").where("l_linenumber = 1"))
+
+
+@query()
+def provenance_reasons_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All line items; the SQL of provenance_reasons has the first of each order only."""
+    return _provenance(b.read(spark, sf, "orders"), b.read(spark, sf, "lineitem"))
+
+
+def _provenance(o: DataFrame, l: DataFrame) -> DataFrame:  # noqa: E741
     checks = ((F.col("l_shipdate") < F.col("o_orderdate"), "early"), (F.col("l_quantity") > 45, "bulk"), (F.col("o_orderstatus") != F.col("l_linestatus"), "status"))
     return o.join(l, o["o_orderkey"] == l["l_orderkey"]).select("o_orderkey", "l_linenumber", supply.reasons(*checks).alias("reasons"))
 
@@ -228,8 +237,18 @@ def sbom_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey < 20) SELECT l_suppkey AS ref, array_to_string(list_sort(list({_PURL})), ';') AS depends_on FROM e JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey")
 def sbom_dependencies(spark: SparkSession, sf: str) -> DataFrame:
-    e = b.read(spark, sf, "lineitem").where("l_suppkey < 20").select("l_suppkey", "l_partkey").distinct()
-    p = b.read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), T.purl(F.col("p_name"), F.col("p_partkey").cast("string"), "generic").alias("purl"))
+    return _dependencies(b.read(spark, sf, "lineitem").where("l_suppkey < 20"), b.read(spark, sf, "part"))
+
+
+@query()
+def sbom_dependencies_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All suppliers; the SQL of sbom_dependencies has those below 20 only."""
+    return _dependencies(b.read(spark, sf, "lineitem"), b.read(spark, sf, "part"))
+
+
+def _dependencies(lines: DataFrame, parts: DataFrame) -> DataFrame:
+    e = lines.select("l_suppkey", "l_partkey").distinct()
+    p = parts.select(F.col("p_partkey").alias("l_partkey"), T.purl(F.col("p_name"), F.col("p_partkey").cast("string"), "generic").alias("purl"))
     return e.join(p, "l_partkey").groupBy(F.col("l_suppkey").alias("ref")).agg(F.array_join(F.sort_array(F.collect_list("purl")), ";").alias("depends_on"))
 
 
