@@ -38,10 +38,14 @@ def recursive(spark, name: str, anchor: DataFrame, edges: DataFrame, step: str,
 
 
 def bounded_closure(edges: DataFrame, seeds: DataFrame, rounds: int = 6) -> DataFrame:
-    """node, source, round: where a seed (node, source) gets along edges (u, v) in at most `rounds` steps, and when first."""
+    """node, source, round: where a seed (node, source) gets along edges (u, v) in at most `rounds` steps, and when first. Only
+    what a round finds for the first time goes on."""
     out = seeds.select("node", "source", F.lit(0).alias("round")).distinct()
     front = out
     for i in range(1, rounds + 1):
-        front = front.join(edges, front["node"] == edges["u"]).select(F.col("v").alias("node"), "source", F.lit(i).alias("round")).distinct()
+        front = front.join(edges, front["node"] == edges["u"]).select(F.col("v").alias("node"), "source").distinct()
+        front = front.join(out, ["node", "source"], "left_anti").withColumn("round", F.lit(i)).persist()
+        if front.isEmpty():
+            break
         out = out.unionByName(front)
-    return out.groupBy("node", "source").agg(F.min("round").alias("round"))
+    return out

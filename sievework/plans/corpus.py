@@ -153,8 +153,18 @@ def host_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS u, (l_partkey * 7 + l_suppkey) % 500 AS v FROM lineitem WHERE l_quantity = 50), w(node, source, round) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey < 5 UNION SELECT e.v, w.source, w.round + 1 FROM w JOIN e ON w.node = e.u WHERE w.round < 6) SELECT node, source, CAST(min(round) AS INTEGER) AS round FROM w GROUP BY node, source""")
 def taint_closure(spark: SparkSession, sf: str) -> DataFrame:
-    edges = b.read(spark, sf, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("u"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 500).alias("v")).distinct()
-    seeds = b.read(spark, sf, "part").where("p_partkey < 5").select(F.col("p_partkey").alias("node"), F.col("p_partkey").alias("source"))
+    return _closure(b.read(spark, sf, "lineitem").where("l_quantity = 50"), b.read(spark, sf, "part").where("p_partkey < 5"))
+
+
+@query()
+def taint_closure_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All line items are edges and all parts seeds; the SQL of taint_closure has those of quantity 50 and parts below 5 only."""
+    return _closure(b.read(spark, sf, "lineitem"), b.read(spark, sf, "part"))
+
+
+def _closure(lines: DataFrame, parts: DataFrame) -> DataFrame:
+    edges = lines.select(F.col("l_partkey").alias("u"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 500).alias("v")).distinct()
+    seeds = parts.select(F.col("p_partkey").alias("node"), F.col("p_partkey").alias("source"))
     return graphs.bounded_closure(edges, seeds)
 
 

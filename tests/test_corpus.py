@@ -36,3 +36,15 @@ def test_provenance_of_all_line_items(spark, small):
         want.append((order, number, ",".join(n for hit, n in checks if hit)))
     got = registry.QUERIES["provenance_reasons_all"](spark, small).collect()
     assert sorted((r.o_orderkey, r.l_linenumber, r.reasons) for r in got) == sorted(want)
+
+
+def test_closure_over_all_line_items_and_parts(spark, small):
+    edges = {(part, (part * 7 + supplier) % 500) for _, _, part, supplier, *_ in LINES}
+    want, front = {(p, p): 0 for p in PARTS}, {(p, p) for p in PARTS}
+    for i in range(1, 7):
+        front = {(v, source) for node, source in front for u, v in edges if u == node}
+        for x in front:
+            want.setdefault(x, i)
+    got = registry.QUERIES["taint_closure_all"](spark, small).collect()
+    assert {(r.node, r.source): r.round for r in got} == want and len(got) == len(want)
+    assert {s for n, s in want if n != s} == {1, 2, 3, 700}
