@@ -24,7 +24,7 @@ COMMENT_LINE = r"^\s*(//|\*|/\*)"
 @dataclass(frozen=True)
 class Rule:
     """One rule. lines: patterns found everywhere in the content, as (regex, note, module that must be imported); contents:
-    patterns of which the first match counts. A rule without patterns is emitted by another operator."""
+    patterns of which the first match counts. A rule without patterns is emitted by another operator, or by none yet (listed in the README)."""
 
     id: str
     name: str
