@@ -5,7 +5,7 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import lists, map_slices, ranges, table, words_of
@@ -117,6 +117,19 @@ def _items(benchmark: DataFrame, k: int, n: int) -> list[tuple[int | None, str |
     return [tuple(r) for r in mine.distinct().orderBy("item_id", "text").collect()]
 
 
+def _runs(found: Column) -> Column:
+    """Runs (words, spans) of several blocks, put together where they overlap or touch in words."""
+    kind = "array<struct<words:struct<start:int,end:int>,spans:struct<start:int,end:int>>>"
+
+    def add(made: Column, x: Column) -> Column:
+        last = F.get(made, F.size(made) - 1)
+        grown = F.struct(*(F.struct(last[k]["start"].alias("start"), F.greatest(last[k]["end"], x[k]["end"]).alias("end")).alias(k) for k in ("words", "spans")))
+        longer = F.concat(F.slice(made, 1, F.greatest(F.size(made) - 1, F.lit(0))), F.array(grown))
+        return F.when(x["words"]["start"] <= last["words"]["end"], longer).otherwise(F.concat(made, F.array(x))).cast(kind)
+
+    return F.aggregate(F.array_sort(found), F.array().cast(kind), add)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs (doc_id, text): n_words, word_hits (indices of hit words), item_ids (sorted as strings),
     spans (maximal runs of hit words as character offsets in the original text) and words (the same runs as word indices).
@@ -134,16 +147,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
     first = scan(0)
     if n == 1:
         return first.drop("th")
-    lists = ("word_hits", "item_ids", "spans", "words")
+    lists = ("word_hits", "item_ids", "runs")
+    zipped = F.arrays_zip("words", "spans").alias("runs")
+    first = first.withColumn("runs", zipped)
     more = None
     for k in range(1, n):
-        one = scan(k).where(F.size("word_hits") > 0).dropDuplicates(["doc_id", "th"])
+        one = scan(k).where(F.size("word_hits") > 0).dropDuplicates(["doc_id", "th"]).withColumn("runs", zipped)
         more = one if more is None else more.unionByName(one)
     more = more.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(*(F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in lists))
     out = first.join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
     both = {c: F.array_sort(F.array_distinct(F.concat(c, F.coalesce(f"more_{c}", F.array())))) for c in lists}
     both["item_ids"] = F.transform(F.array_sort(F.transform(both["item_ids"], lambda x: x.cast("string"))), lambda x: x.cast("long"))
-    return out.select("doc_id", "n_words", *(both[c].alias(c) for c in lists))
+    out = out.select("doc_id", "n_words", both["word_hits"].alias("word_hits"), both["item_ids"].alias("item_ids"), _runs(both["runs"]).alias("runs"))
+    return out.select("doc_id", "n_words", "word_hits", "item_ids", F.col("runs.spans").alias("spans"), F.col("runs.words").alias("words"))
 
 
 def _count(benchmark: DataFrame, block_bytes: int) -> int:

@@ -39,6 +39,17 @@ def test_decontaminate(spark, frame, corpus, block):
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {d for d in got if not got[d].word_hits}
 
 
+def test_runs_do_not_depend_on_blocks(spark):
+    """Runs of different blocks that overlap or touch are one, as within one block."""
+    words = [f"wörd{i}" for i in range(120)]
+    items = [(i, " ".join(words[k : k + 12])) for i, k in enumerate(range(0, 36, 6))] + [(50 + i, " ".join(words[k : k + 3])) for i, k in enumerate(range(60, 90, 3))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, ", ".join(words)), (2, "none of these"), (3, ", ".join(words[20:75]))], "doc_id long, text string")
+    one, many = ({r.doc_id: (r.word_hits, r.spans, r.words) for r in decontaminate.decontaminate(docs, bench, block_bytes=x).collect()} for x in (decontaminate.BLOCK_BYTES, 40))
+    assert [tuple(x) for x in one[1][2]] == [(0, 42), (60, 90)]
+    assert one == many
+
+
 def test_decontaminate_edges(spark, empty, odd, frame):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(empty, none).count() == 0
