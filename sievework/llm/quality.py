@@ -117,7 +117,8 @@ class Net:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
+        some = x if len(x) else np.zeros((1, x.shape[1]))
+        self.mean, self.scale = some.mean(0), some.std(0) + 1e-3
         x = (x - self.mean) / self.scale
         back = np.arange(len(x)) % 5 == 0
         tx, ty = (x[~back], y[~back]) if (~back).any() else (x, y)
@@ -125,6 +126,10 @@ class Net:
         self.w = [rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) == 2 else np.zeros(s) for s in shapes]
         rate = np.clip(ty.mean() if len(ty) else 0.5, 0.01, 0.99)
         self.w[3][:] = np.log(rate / (1 - rate))
+        self.temperature = 1.0
+        if len(set(y)) < 2:  # nothing to tell apart: every text gets the rate of its one class, or 0.5
+            self.w[2][:] = 0
+            return
         m, v, t = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes], 0
         for _ in range(EPOCHS if len(tx) else 0):
             order = rng.permutation(len(tx))
@@ -138,7 +143,6 @@ class Net:
                     m[i] = 0.9 * m[i] + 0.1 * g
                     v[i] = 0.999 * v[i] + 0.001 * g * g
                     self.w[i] -= 0.004 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-        self.temperature = 1.0
         if back.any():
             z, by = self.logit(x[back], scaled=True), y[back]
             grid = np.exp(np.linspace(-1.5, 2.5, 81))
@@ -155,7 +159,8 @@ class Net:
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> tuple[np.ndarray, Net]:
     """Word vectors from all documents, and a network from at most most_rows labelled ones (doc_id, quality) whose
-    remainder (crc32 of doc_id, modulo 5) is not 0. Without labelled rows every score is 0.5."""
+    remainder (crc32 of doc_id, modulo 5) is not 0. Without labelled rows every score is 0.5, with
+    one class only every score is 0.99 or 0.01."""
     vectors = word_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     known = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), 5) != 0))
