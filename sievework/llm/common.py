@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,16 +24,19 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset: a temporary one in local mode, else one in the warehouse, which
+    all executors reach."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jsc.get() if jsc.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="sievework-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    if not found and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        found = _local.setdefault("dir", "") or tempfile.mkdtemp(prefix="sievework-")
+        _local["dir"] = found
+    return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/sievework-shared"
+
+
+_local: dict[str, str] = {}
 
 
 def trim() -> None:
@@ -43,32 +46,29 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: it does so once the driver has collected their handles."""
-    gc.collect()
-    trim()
-    spark.sparkContext._jvm.java.lang.System.gc()
-
+#: Shuffle files of a query are deleted when it has ended; nothing reads them later, since its result is in a table.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    release(df.sparkSession)
-    return df.checkpoint(eager=True)
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: computed once, compressed, kept if executors go."""
+def written(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write a table to the shared folder and read it again: computed once, compressed, kept if executors go. This cuts the
+    lineage; drop_written() deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sievework-{name}-{uuid.uuid4().hex}"
-    release(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(*tables: DataFrame) -> None:
+def drop_written(*tables: DataFrame | None) -> None:
     """Delete what written() made, once no later plan reads it."""
     for df in tables:
+        if df is None:
+            continue
         context = df.sparkSession.sparkContext
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/sievework-" in path:
@@ -76,6 +76,17 @@ def drop_written(*tables: DataFrame) -> None:
                 p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it, in whatever case."""
+    there = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in there:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -209,10 +220,12 @@ def binaries(data: np.ndarray | bytes, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(data) if isinstance(data, np.ndarray) else data)])
 
 
-def tree_sum(df: DataFrame, key: str, dtype: str, levels: tuple[int, ...] = (4096, 64)) -> DataFrame:
-    """Sum binary arrays of equal size (column `sums`) by key, in levels, so that no task gathers more than a few
-    hundred of them however many tasks made them."""
+def tree_sum(df: DataFrame, key: str, dtype: str) -> DataFrame:
+    """Sum binary arrays of equal size (column `sums`) by key. With many tasks this goes in levels, so that no task gathers
+    more than a few hundred arrays of a key however many tasks made them."""
     kind = df.schema[key].dataType.simpleString()
+    tasks = df.rdd.getNumPartitions()  # of the plan; nothing runs
+    levels = (4096, 64) if tasks > 4096 else (64,) if tasks > 128 else ()
 
     def add(part: pa.Table) -> pa.Table:
         total = np.frombuffer(part.column("sums")[0].as_py(), dtype).copy()

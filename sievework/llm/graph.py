@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import cut
+from sievework.llm.common import drop_written, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -25,13 +25,15 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every node of links (u, v): the root is the least node of its component. Nodes without links to
-    others do not appear. Each round is cut by a checkpoint; rounds grow with the logarithm of the longest chain."""
-    edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    others do not appear. Each round is a written table; rounds grow with the logarithm of the longest chain."""
+    edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     digest = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     before = digest(edges)
     while before[0]:
-        edges = cut(_small(_large(edges)))
-        after = digest(edges)
+        large = written(_large(edges), "edges")
+        smaller = written(_small(large), "edges")
+        drop_written(edges, large)
+        edges, after = smaller, digest(smaller)
         if after == before:
             break
         before = after

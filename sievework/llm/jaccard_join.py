@@ -10,11 +10,12 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import WHITE, Prefix, binaries, bloom, cut, drop_written, in_bloom, lists, map_slices, mix, slices, table, text_bytes, words_of, written
+from sievework.llm.common import WHITE, Prefix, binaries, bloom, drop_written, in_bloom, lists, map_slices, mix, slices, table, text_bytes, unused, words_of, written
 from sievework.llm.graph import components
 
 #: Words in a shingle, and the similarity as a fraction, where a caller names none.
@@ -328,12 +329,13 @@ def _links(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words: int, t
     some = distinct.select("id", "n", "sketch")
     u = some.select(F.col("id").alias("u"), "n", F.col("sketch").alias("x"))
     v = some.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("y"))
-    open_ = cut(pairs.join(u, "u").join(v, "v").select("u", "v", "n", "m", "x", "y").mapInArrow(_possible(t), "u long, v long"))
+    open_ = written(pairs.join(u, "u").join(v, "v").select("u", "v", "n", "m", "x", "y").mapInArrow(_possible(t), "u long, v long"), "open")
     stands = distinct.select("id", F.xxhash64("row.doc_id", "row.th").alias("r"), F.col("row.th").alias("th"))
     named = open_
     for side in ("u", "v"):
         named = named.join(stands.select(F.col("id").alias(side), F.col("r").alias(f"r{side}"), F.col("th").alias(f"t{side}")), side)
-    named = cut(named)
+    named = written(named, "named")
+    drop_written(open_)
     bits = bloom(named.select(F.explode(F.array(F.struct(F.col("ru").alias("r"), F.col("tu").alias("th")), F.struct(F.col("rv").alias("r"), F.col("tv").alias("th")))).alias("x")).select("x.*").distinct(), "r", "th")
 
     def run(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch | None:
@@ -349,8 +351,9 @@ def _links(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words: int, t
     sets = made.dropDuplicates(["r", "th"])
     y = sets.select(F.col("r").alias("rv"), F.col("th").alias("tv"), F.col("tokens").alias("y"))
     x = sets.select(F.col("r").alias("ru"), F.col("th").alias("tu"), F.col("tokens").alias("x"))
-    out = cut(named.join(y, ["rv", "tv"]).join(x, ["ru", "tu"]).select("u", "v", "x", "y").mapInArrow(_similar(t), "u long, v long").distinct())
-    drop_written(made)
+    out = written(named.join(y, ["rv", "tv"]).join(x, ["ru", "tu"]).select("u", "v", "x", "y").mapInArrow(_similar(t), "u long, v long").distinct(), "links")
+    drop_written(made, named)
+    bits.unpersist()
     return out
 
 
@@ -368,23 +371,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: tuple[int, int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent, per_document = statistics(docs, words)
     every = written(signed(docs, words, similar, frequent, boundary(similar, per_document)), "signed")
-    full = every.where("n > 0")
-    distinct = full.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("light").alias("light"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "th")).alias("row"))
-    distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
-    entries = distinct.select("id", "n", F.posexplode("keys").alias("pos", "key"))
-    entries = entries.unionByName(distinct.select("id", "n", F.lit(-1).alias("pos"), F.explode(F.array_distinct("light")).alias("key")))
+    rows = written(every.select("doc_id", "th", "n", "a", "b"), "rows")
+    distinct = every.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("light").alias("light"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "th")).alias("row"))
+    whole = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    drop_written(every)
+    entries = whole.select("id", "n", F.posexplode("keys").alias("pos", "key"))
+    entries = entries.unionByName(whole.select("id", "n", F.lit(-1).alias("pos"), F.explode(F.array_distinct("light")).alias("key")))
     entries = written(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_several, "id long, n long, pos int, key long, size long"), "entries")
+    distinct = written(whole.drop("keys", "light"), "sketches")
+    drop_written(whole)
     links, comps = None, None
-    for turn in range(ROUNDS + 1):  # eager: each round's components thin out the next one's pairs
-        pairs = cut(_candidates(entries, distinct, comps, similar, turn == ROUNDS))
+    for turn in range(ROUNDS + 1):  # each round's components thin out the next one's pairs
+        pairs = written(_candidates(entries, distinct, comps, similar, turn == ROUNDS), "pairs")
         found = _links(pairs, distinct, docs, words, similar)
-        links = cut(found if links is None else links.unionByName(found))
-        comps = cut(components(links))
-    drop_written(entries)
+        both = found if links is None else written(links.unionByName(found), "links")
+        grown = written(components(both), "components")
+        drop_written(pairs, comps, *(() if links is None else (links, found)))
+        links, comps = both, grown
     named = distinct.select("id", "a", "b", "least").join(comps, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("a", "b", "root", "component_id")
+    named = written(named, "named")
+    drop_written(entries, distinct, links, comps)
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = every.select("doc_id", "th", "n", "a", "b").join(named, ["a", "b"], "left")
+    out = rows.join(named, ["a", "b"], "left")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("root").alias("component"))
 
 
@@ -413,15 +422,26 @@ def _doubled(t: pa.Table, key: np.ndarray):
 
 def deduplicate(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """The rows of docs of which one in each component stays: that of the least doc_id (null last, equal ones by hash of
-    the text; of rows that agree in both one). Rows with empty sets all stay. Columns stay as they are."""
-    found = cut(near_duplicates(docs, words, similar).select("doc_id", "th", "component"))
+    the text; of rows that agree in both one). Rows with empty sets all stay. Columns stay as they are.
+
+    Only rows that a Bloom filter of those to go lets through are shuffled; all others stay where they are read."""
+    found = written(near_duplicates(docs, words, similar).where(F.col("component").isNotNull()).select("doc_id", "th", "component"), "found")
     chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x")
-    kept = found.where(F.col("component").isNotNull()).groupBy("component").agg(chosen).select("x.doc_id", "x.th")
-    kept = kept.unionByName(found.where(F.col("component").isNull()).select("doc_id", "th").distinct()).select(F.col("doc_id").alias("near_id"), F.col("th").alias("near_th"))
-    keyed = docs.withColumn("near_t", F.xxhash64("text"))
-    out = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["near_id"]) & (F.col("near_t") == F.col("near_th")), "left_semi")
-    repeated = found.where(F.col("component").isNotNull()).groupBy("doc_id", "th").count().where("count > 1").limit(1)
-    if repeated.count():  # rows that agree in doc_id and text, but for those with empty sets
-        blank = F.coalesce(F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")), F.lit("")) == ""
-        out = out.where(blank).unionByName(out.where(~blank).dropDuplicates(["doc_id", "near_t"]))
-    return out.select(*docs.columns)
+    kept = found.groupBy("component").agg(chosen).select("component", F.col("x.doc_id").alias("keep_id"), F.col("x.th").alias("keep_th"))
+    both = found.groupBy("component", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")).join(kept, "component")
+    goes = ~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("th") == F.col("keep_th")))
+    moved = written(both.where(goes | (F.col("n") > 1)).select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), goes.alias("goes"), F.xxhash64("doc_id", "th").alias("mark")), "moved")
+    drop_written(found)
+    bits = bloom(moved, "mark", "gone_th")
+
+    @F.pandas_udf("boolean")
+    def maybe(mark: pd.Series, th: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(bits.value, mark.to_numpy(), th.to_numpy()))
+
+    th, mark = unused([*docs.columns, "gone_id", "gone_th"], "th", "mark")
+    keyed = docs.withColumn(th, F.xxhash64("text")).withColumn(mark, F.xxhash64(F.col("doc_id").cast("long"), F.col(th)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    some = maybe(F.col(mark), F.col(th))
+    met = keyed.where(some).join(moved.where("goes").select("gone_id", "gone_th"), F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col(th) == F.col("gone_th")), "left_anti")
+    blank = F.coalesce(F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")), F.lit("")) == ""
+    return keyed.where(~some).select(*columns).unionByName(met.where(blank).select(*columns)).unionByName(met.where(~blank).dropDuplicates(["doc_id", th]).select(*columns))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.llm.common import WORD_RE, cut
+from sievework.llm.common import WORD_RE, drop_written, unused, written
 
 #: A repeat is deleted if it has so many lines, or is one line of so many characters.
 MIN_LINES = 3
@@ -24,10 +24,16 @@ BUCKETS = 4096
 DOC = ["doc_id", "th"]
 
 
-def _ranked(classes: DataFrame, order: list[str], bucket: Column) -> DataFrame:
+def _held(df: DataFrame, name: str, held: list[DataFrame]) -> DataFrame:
+    """A written table, noted in `held` for its deletion."""
+    held.append(written(df, name))
+    return held[-1]
+
+
+def _ranked(classes: DataFrame, order: list[str], bucket: Column, held: list[DataFrame]) -> DataFrame:
     """rank: how many suffixes come before a class (columns n and `order`) in sorted order. bucket must not fall as the
     order rises; classes are sorted within buckets and buckets are added up."""
-    classes = cut(classes.withColumn("bucket", bucket.cast("long")))
+    classes = _held(classes.withColumn("bucket", bucket.cast("long")), "classes", held)
     inside = Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sizes = classes.groupBy("bucket").agg(F.sum("n").alias("size"))
     up = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -69,16 +75,18 @@ def _words(suffixes: DataFrame) -> DataFrame:
     return suffixes.withColumn("to", to).withColumn("at", F.col("to") - F.col("words")).drop("words")
 
 
-def repeated(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, min_words: int | None = None) -> DataFrame:
-    """doc_id, th, start, stop (lines, stop excluded): the later copies of repeats; they may overlap."""
+def repeated(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, min_words: int | None = None, held: list[DataFrame] | None = None) -> DataFrame:
+    """doc_id, th, start, stop (lines, stop excluded): the later copies of repeats; they may overlap. The tables that the plan
+    reads are added to `held`."""
+    held = [] if held is None else held
     sized = [] if min_words is None else ["at", "to"]
     enough = F.lit(False) if min_words is None else F.col("to") - F.col("at") >= min_words
     whole = lines(docs)
     # by one line: lines that occur once are discarded before anything is sorted
     counted = whole.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    classes = _ranked(counted, ["a", "b"], F.shiftright(F.col("a"), 52))
+    classes = _ranked(counted, ["a", "b"], F.shiftright(F.col("a"), 52), held)
     suffixes = whole.join(classes, ["a", "b"]).select(*DOC, "pos", "chars", "rank", "n", *(["words"] if sized else []))
-    suffixes = cut(_words(suffixes) if sized else suffixes)
+    suffixes = _held(_words(suffixes) if sized else suffixes, "suffixes", held)
     firsts = _repeats(suffixes, ["rank"]).select("rank", "first")
     later = F.struct(*DOC, "pos") > F.col("first")
     alone = F.lit(True) if min_lines <= 1 else (F.col("chars") >= min_chars) | enough
@@ -98,8 +106,8 @@ def repeated(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_C
         if reached < min_lines:
             # a class's place in the order is near r + of * ahead / total, which does not fall as (r, ahead) rises
             place = (F.col("r") + F.col("of") * F.col("ahead") / max(total, 1)) * BUCKETS / max(total, 1)
-            classes = _ranked(found.select("r", "ahead", "of", "n"), ["r", "ahead"], F.floor(place))
-            suffixes = cut(pairs.join(classes, ["r", "ahead", "of"]).select(*DOC, "pos", "rank", "n", *sized))
+            classes = _ranked(found.select("r", "ahead", "of", "n"), ["r", "ahead"], F.floor(place), held)
+            suffixes = _held(pairs.join(classes, ["r", "ahead", "of"]).select(*DOC, "pos", "rank", "n", *sized), "suffixes", held)
         else:
             runs = pairs.join(found, ["r", "ahead", "of"]).where(later)
             out = out.unionByName(runs.select(*DOC, F.col("pos").alias("start"), (F.col("pos") + min_lines).alias("stop")))
@@ -125,15 +133,22 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN
     null, an empty one empty; a text of which all lines go becomes empty. Rows that agree in doc_id and text are one
     document and are treated alike. Other columns stay."""
     docs = docs.drop("dedup_runs")
-    keyed = docs.withColumn("dedup_th", F.xxhash64("text"))
-    gone = _runs(repeated(docs, min_lines, min_chars, min_words)).select(F.col("doc_id").alias("dedup_id"), F.col("th").alias("dedup_h"), "dedup_runs")
-    both = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["dedup_id"]) & (F.col("dedup_th") == F.col("dedup_h")), "left")
+    th, gone_id, gone_th = unused(docs.columns, "th", "gone_id", "gone_th")
+    held: list[DataFrame] = []
+    covered = repeated(docs.select("doc_id", "text"), min_lines, min_chars, min_words, held)
+    gone = written(_runs(covered).select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th), "dedup_runs"), "runs")
+    drop_written(*held)
+    keyed = docs.withColumn(th, F.xxhash64("text"))
+    both = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(th) == F.col(gone_th)), "left")
     kept = F.filter(_line(F.col("text")), lambda x, i: ~F.exists("dedup_runs", lambda r: (i >= r["start"]) & (i < r["stop"])))
     text = F.when(F.col("dedup_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return both.withColumn("text", text).select(*docs.columns, F.coalesce("dedup_runs", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("dedup_runs"))
+    runs = F.coalesce("dedup_runs", F.array().cast("array<struct<start:bigint,stop:bigint>>"))
+    return both.select(*(text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns), runs.alias("dedup_runs"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """line_dedup() as op1 returns it: doc_id, n_lines (0 for null), n_removed, n_runs and kept_sha256 (of the empty text for
+    null) for each row. Nulls, empty texts, ties, repeated rows and an empty table are as there."""
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_line(F.col("text"))))
     out = line_dedup(docs.select("doc_id", "text", n_lines.cast("long").alias("n_lines")))
     removed = F.aggregate("dedup_runs", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])

@@ -146,12 +146,13 @@ f AS (SELECT *, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS full_, C
              CAST(ceil(docs / greatest({float(mixing.LEAST_BLOCK)}, sqrt(docs))) AS BIGINT) AS blocks FROM q),
 e AS (SELECT doc_id, source, name, key, t, weight, full_, rest, {h("concat_ws('|', name, 'b')")} % blocks AS b,
              unnest(generate_series(0, full_ - CASE WHEN rest > 0 THEN 0 ELSE 1 END)) AS epoch FROM tok JOIN f USING (key)),
-k AS (SELECT *, row_number() OVER o AS rank, sum(t) OVER (o ROWS UNBOUNDED PRECEDING) AS upto
-      FROM (SELECT *, {h("concat_ws('|', name, CAST(epoch AS VARCHAR))")} AS hd FROM e) WINDOW o AS (PARTITION BY key, epoch, b ORDER BY hd, doc_id, t)),
-bs AS (SELECT key, epoch, b, sum(t) AS size, {h("concat_ws('|', key, CAST(epoch AS VARCHAR), CAST(b AS VARCHAR))")} AS o FROM e GROUP BY key, epoch, b),
+g AS (SELECT *, epoch >= full_ AND t > rest AS aside, CASE WHEN epoch >= full_ AND t > rest THEN 0 ELSE t END AS fits,
+             {h("concat_ws('|', name, CAST(epoch AS VARCHAR))")} AS hd FROM e),
+k AS (SELECT *, row_number() OVER o AS rank, sum(fits) OVER (o ROWS UNBOUNDED PRECEDING) AS upto FROM g WINDOW o AS (PARTITION BY key, epoch, b ORDER BY hd, doc_id, t)),
+bs AS (SELECT key, epoch, b, sum(fits) AS size, {h("concat_ws('|', key, CAST(epoch AS VARCHAR), CAST(b AS VARCHAR))")} AS o FROM g GROUP BY key, epoch, b),
 bo AS (SELECT key, epoch, b, row_number() OVER o AS block, sum(size) OVER (o ROWS UNBOUNDED PRECEDING) - size AS before_ FROM bs WINDOW o AS (PARTITION BY key, epoch ORDER BY o, b))
 SELECT doc_id, source, t AS n_tokens, round(weight, 6) AS weight, CAST(epoch AS INTEGER) AS epoch, block, rank
-FROM k JOIN bo USING (key, epoch, b) WHERE epoch < full_ OR before_ + upto <= rest
+FROM k JOIN bo USING (key, epoch, b) WHERE epoch < full_ OR (NOT aside AND before_ + upto <= rest)
 """
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.llm.common import bloom, cut, drop_written, in_bloom, map_slices, mix, slices, table, written
+from sievework.llm.common import bloom, drop_written, in_bloom, map_slices, mix, slices, table, written
 
 DOC = ["doc_id", "th"]
 #: Hashes are dealt to buckets by their first bits: so many buckets at least, and no more than so many bytes of text for each.
@@ -275,12 +275,12 @@ def covered(docs: DataFrame, s: Scheme, content: Callable, kind: str, compare: C
     live = live_blocks(docs, s)
     every = written(stretch_table(docs, s, live), "stretches")
     groups = every.groupBy("anchor", "body", "windows").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n"))
-    groups = cut(groups)
+    groups = written(groups, "groups")
     back = groups.where("n > 1").select("anchor", "body", "windows", F.col("first"))
     copies = every.join(back, ["anchor", "body", "windows"]).where(place() > F.col("first"))
     out = copies.select(*DOC, "start", (F.col("start") + F.col("windows") + (s.window - 1)).alias("stop"))
     mixed = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    leaders = cut(groups.join(mixed, "anchor").select("anchor", "first.doc_id", "first.th", "first.start"))
+    leaders = written(groups.join(mixed, "anchor").select("anchor", "first.doc_id", "first.th", "first.start"), "leaders")
 
     def second(batches):
         for batch in batches:
@@ -293,7 +293,7 @@ def covered(docs: DataFrame, s: Scheme, content: Callable, kind: str, compare: C
     met = found.join(leaders, same[0] & same[1] & same[2] & same[3], "left_semi").dropDuplicates(["anchor", *DOC, "start"])
     single = compare(met, s.window)
     out = written(runs(out.unionByName(single.select(*DOC, "start", (F.col("start") + s.window).alias("stop")))), "runs")
-    drop_written(every)
+    drop_written(every, groups, leaders)
     return out
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.bwt import SHARD, repeats
-from sievework.llm.common import Prefix, binaries, cut, map_slices, ranges, table
+from sievework.llm.common import Prefix, binaries, map_slices, ranges, table, written
 from sievework.llm.repeats import DOC, Scheme, Tokens, covered, place, with_spans
 
 #: Bytes that make a repeat, and bytes in an anchor.
@@ -83,7 +83,7 @@ def _merge(window: int):
 
 
 def _compare(met: DataFrame, window: int) -> DataFrame:
-    met = cut(met)
+    met = written(met, "met")
     # a crowded anchor's windows are dealt by their own bytes, equal ones put together first
     crowd = met.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("anchor")
     some = met.join(crowd, "anchor")

@@ -10,21 +10,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import Prefix, map_slices, mix, release, remainder, table, text_bytes, words_of
+from sievework.llm.common import Prefix, map_slices, mix, remainder, table, text_bytes, trim, words_of
 
 #: Words in a window, and from one window's start to the next.
 WINDOW = 32
 STRIDE = 16
 #: The network learns from at most so many labelled documents, those of the least hashes.
 MOST_ROWS = 3_000
-#: Known words at most; each needs 3 training documents, and to be toxic ones' more or less often than others are, by so many
-#: standard deviations. All others share one vector and are told apart by characters.
-MOST_WORDS, TELLING = 32_768, 2.0
+#: Longer texts, in bytes, are not learnt from (they are scored as all others are), so that the driver holds a bounded sample.
+MOST_BYTES = 64 << 10
+#: Known words at most, the most frequent; each needs so many training documents. Their vectors start at random. All other
+#: words share one vector and are told apart by characters.
+MOST_WORDS, LEAST_DOCUMENTS = 32_768, 5
+#: In training, known words are taken for unknown ones so often, that characters learn to tell too; weights are averaged over
+#: the last hundred or so steps.
+FORGET, AVERAGE = 0.5, 0.01
 #: Decay of vectors towards zero in each step of training, in learning rates; without it few documents are learnt by heart.
-DECAY = {"word": 0.05, "char": 0.3}
+DECAY = {"word": 0.3, "char": 0.05}
 WORD_SIZE, CHAR_SIZE, HIDDEN, CHAR_BUCKETS = 8, 4, 8, 2048
 #: Times that the worst windows are found anew, and steps of training at least, however few documents there are.
-EPOCHS, STEPS = 6, 420
+EPOCHS, STEPS = 12, 840
 CHUNK = 4096
 #: Lower case for A-Z; other bytes stay. Words are runs of ASCII letters and of bytes of characters beyond ASCII.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -76,13 +81,12 @@ def tanh(x: np.ndarray) -> np.ndarray:
 class Network:
     """Parameters by name; words is the sorted array of known words' hashes."""
 
-    def __init__(self, words: np.ndarray, prior: np.ndarray, seed: int = 3):
+    def __init__(self, words: np.ndarray, seed: int = 3):
         rng = np.random.default_rng(seed)
         d, h = WORD_SIZE + CHAR_SIZE, HIDDEN
         r = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
         self.words = words
-        self.p = {"word": rng.normal(0, 0.1, (len(words) + 1, WORD_SIZE)).astype(np.float32), "char": rng.normal(0, 0.1, (CHAR_BUCKETS, CHAR_SIZE)).astype(np.float32)}
-        self.p["word"][:-1, : prior.shape[1]] = prior
+        self.p = {"word": rng.normal(0, 0.02, (len(words) + 1, WORD_SIZE)).astype(np.float32), "char": rng.normal(0, 0.1, (CHAR_BUCKETS, CHAR_SIZE)).astype(np.float32)}
         self.p["word"][-1] = 0
         for side in "fb":
             self.p |= {f"x{side}": r(d, 3 * h), f"u{side}": r(h, 3 * h), f"c{side}": np.zeros(3 * h, np.float32)}
@@ -208,24 +212,24 @@ def _read(texts: list[bytes]):
 def _train(texts: list[bytes], y: np.ndarray) -> Network:
     rows = len(texts)
     found, grams, at, count, number, before = _read(texts)
-    # how much more often a word's documents are toxic than documents are: a start for two entries of its vector
     pair = np.unique(np.repeat(np.arange(rows), np.diff(before)) * max(len(found), 1) + number) if len(found) else np.zeros(0, np.int64)
     of, word = pair // max(len(found), 1), pair % max(len(found), 1)
     df = np.bincount(word, minlength=len(found))
     rate = y.mean() if rows else 0.0
-    z = (np.bincount(word, weights=y[of], minlength=len(found)) - df * rate) / np.sqrt(df * rate + 1)
-    known = np.flatnonzero((df >= 3) & (np.abs(z) > TELLING))
+    known = np.flatnonzero(df >= LEAST_DOCUMENTS)
     if len(known) > MOST_WORDS:
-        known = np.sort(known[np.argsort(-np.abs(z[known]), kind="stable")[:MOST_WORDS]])
-    net = Network(found[known], np.stack([np.tanh(z[known] / 8), np.tanh(z[known] / 3)], 1))
+        known = np.sort(known[np.argsort(-df[known], kind="stable")[:MOST_WORDS]])
+    net = Network(found[known])
     row, first, length = windows(before)
     if not len(row) or rate in (0.0, 1.0):
         net.p["out"][:], net.p["bias"][0] = 0, 6.0 if rate == 1 else -6.0
         return net
     mine = net.number(found)
-    score = np.maximum.reduceat(np.append(np.where(mine[number] < len(known), np.append(z[known], 0)[mine[number]], 0), 0), np.stack([first, first + length], 1).ravel())[::2]
     rng = np.random.default_rng(5)
-    start = {"word": net.p["word"].copy()}
+    # at first a document stands by the window with the word that is most often in toxic ones; the network sees none of this
+    often = np.where(df >= LEAST_DOCUMENTS, (np.bincount(word, weights=y[of], minlength=len(found)) - df * rate) / np.sqrt(df * rate + 1), 0)
+    score = np.maximum.reduceat(np.append(often[number], 0), np.stack([first, first + length], 1).ravel())[::2]
+    mean: dict[str, np.ndarray] = {}
     m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
     batches = -(-2 * len(np.unique(row)) // 128)
     turns = -(-max(EPOCHS * batches, STEPS) // batches)
@@ -250,27 +254,36 @@ def _train(texts: list[bytes], y: np.ndarray) -> Network:
             begin = np.concatenate(([0], np.cumsum(c)[:-1]))
             some = grams[np.arange(c.sum()) + np.repeat(at[ids] - begin, c)]
             step += 1
-            for name, g in net.gradient(mine[ids], some, begin, local.reshape(WINDOW, -1), inside, y[row[w]]).items():
+            for name, g in net.gradient(np.where(rng.random(len(ids)) < FORGET, len(known), mine[ids]), some, begin, local.reshape(WINDOW, -1), inside, y[row[w]]).items():
                 if name == "word":
                     g[-1] = 0
                 m[name] += 0.1 * (g - m[name])
                 v[name] += 0.01 * (g * g - v[name])
-                net.p[name] -= 0.01 * (m[name] / (1 - 0.9**step) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6) + DECAY.get(name, 0.01) * (net.p[name] - start.get(name, 0)))
+                net.p[name] -= 0.01 * (m[name] / (1 - 0.9**step) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6) + DECAY.get(name, 0.01) * net.p[name])
+                mean[name] = net.p[name].copy() if name not in mean else mean[name] + np.float32(AVERAGE) * (net.p[name] - mean[name])
+    net.p = mean
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Network:
-    """A network from at most most_rows labelled documents (doc_id, toxic) whose remainder (crc32 of doc_id, modulo 5)
-    is not 0; of equal texts one is kept. Without labelled rows nothing is toxic."""
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Network:
+    """A network from at most most_rows labelled documents (doc_id, toxic) of most_bytes at most whose remainder (crc32 of
+    doc_id, modulo 5) is not 0; of equal texts, and of texts of one doc_id, one is kept (by hash). Null texts are empty ones.
+    Without labelled rows, or with none that is toxic, nothing is toxic."""
     known = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id"), 5) != 0))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # most_rows small rows at most
-    got = rows.orderBy("doc_id").limit(most_rows).toArrow()
+    rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
+    rows = rows.join(F.broadcast(sample), "doc_id")  # most_rows small rows at most
+    got = rows.orderBy("doc_id", F.xxhash64("text"), "toxic").limit(most_rows).toArrow()
     data, offsets = text_bytes(got.column("text"))
-    texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    once = dict(zip(reversed(texts), reversed(got.column("toxic").to_pylist()), strict=True))
+    ids = got.column("doc_id").to_numpy()
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
+    toxic = got.column("toxic").to_pylist()
+    once: dict[bytes, float] = {}
+    for k in first:
+        once.setdefault(data[offsets[k] : offsets[k + 1]].tobytes(), toxic[k])
+    del got, data
     net = _train(list(once), np.array(list(once.values()), np.float32))
-    release(docs.sparkSession)
+    trim()
     return net
 
 
@@ -304,7 +317,8 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
 
 
 def reject(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, that score less than the threshold."""
+    """The rows of docs, with all their columns, that score less than the threshold. Null and empty texts, and others without
+    words, score 0 and stay; repeated rows are treated alike."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(net))  # as in score()
 
     def run(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:

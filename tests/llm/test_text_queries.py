@@ -220,7 +220,7 @@ def test_windows_cover_all_words():
 
 def test_network_gradient():
     rng = np.random.default_rng(0)
-    net = toxicity.Network(np.arange(5, dtype=np.uint64), np.zeros((5, 2)))
+    net = toxicity.Network(np.arange(5, dtype=np.uint64))
     for k, v in net.p.items():
         net.p[k] = rng.normal(0, 0.5, v.shape)
     number, grams, at = np.array([0, 1, 5, 3]), np.array([1, 2, 3, 4, 2, 9]), np.array([0, 2, 3, 5])
