@@ -91,3 +91,23 @@ def baseline(now: DataFrame, before: DataFrame) -> DataFrame:
 
 def sarif_level(severity: Column) -> Column:
     return F.when(severity.isin("critical", "high"), "error").when(severity == "medium", "warning").otherwise("note")
+
+
+def bounded(findings: DataFrame, most: int, key: str = "package", seq: str = "seq") -> DataFrame:
+    """What a buffer of `most` findings holds after all of a package's have come in order of seq: a finding that comes when it is
+    full takes the place of the oldest one of the lowest severity there, if its own is higher.
+
+    Severities above one, the last that fits in part, are kept whole; of that one those count that came while findings of it or
+    above were fewer than `most`, and the latest of these stay. So windows tell it without going through the rows."""
+    rows = findings.withColumn("r", rank(F.col("severity")))
+    counts = rows.groupBy(key, "r").agg(F.count(F.lit(1)).alias("c"))
+    up = Window.partitionBy(key).orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    edge = counts.withColumn("upto", F.sum("c").over(up)).withColumn("above", F.col("upto") - F.col("c"))
+    edge = edge.where(F.col("above") < most).select(key, "r", "above", (F.col("upto") <= most).alias("whole"))
+    met = rows.join(edge, [key, "r"])
+    whole = met.where("whole").select(*findings.columns)
+    last = edge.where("NOT whole").select(key, F.col("r").alias("edge"), "above")
+    near = rows.join(last, key).where("r <= edge")
+    came = near.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(seq))).where((F.col("r") == F.col("edge")) & (F.col("k") <= most))
+    late = came.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(seq)))).where(F.col("k") <= most - F.col("above"))
+    return whole.unionByName(late.select(*findings.columns))

@@ -14,6 +14,18 @@ def first_existing(wanted: DataFrame, candidates: str, there: DataFrame, key: st
     return keyed.join(best, "wanted_id", "left").drop("wanted_id")
 
 
+#: Levels after which what has been found is written to the folder of checkpoints, where there is one.
+CUT = 8
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    df.sparkSession.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def levels(edges: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
     """node, level, parent: breadth first from roots (node) along edges (u, v); of several parents the least. A step is a join
     with what is new; it ends when nothing is."""
@@ -24,8 +36,12 @@ def levels(edges: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
         step = front.join(edge, front["node"] == edge["u"]).groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"))
         fresh = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("level"), "parent").persist()
         if fresh.isEmpty():
+            fresh.unpersist()
             break
         seen, front = seen.unionByName(fresh), fresh
+        if level % CUT == 0:  # else a plan of many levels grows with their number
+            seen = _cut(seen)
+            front = seen.where(F.col("level") == level)
     return seen
 
 

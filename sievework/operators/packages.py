@@ -111,3 +111,14 @@ def module_edges(files: DataFrame) -> DataFrame:
     inner = met.select("package", "source", "specifier", F.substring_index("found", "|", -1).alias("target"), F.when(F.col("found").isNull(), "unresolved").otherwise("resolved").alias("kind"))
     outer = found.where(~F.col("specifier").startswith(".")).select("package", "source", "specifier", F.lit(None).cast("string").alias("target"), F.lit("external").alias("kind"))
     return inner.unionByName(outer)
+
+
+def reachable(files: DataFrame) -> DataFrame:
+    """package, path, level: the files that a package's runtime entries reach over its imports, breadth first."""
+    from sievework.operators.graphs import levels
+    from sievework.operators.profile import runtime_entries
+
+    key = lambda c: F.concat("package", F.lit("|"), c)
+    edges = module_edges(files).where("target IS NOT NULL").select(key("source").alias("u"), key("target").alias("v"))
+    out = levels(edges, runtime_entries(files).select(key("path").alias("node")))
+    return out.select(F.substring_index("node", "|", 1).alias("package"), F.substring_index("node", "|", -1).alias("path"), "level")

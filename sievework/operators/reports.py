@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
@@ -98,3 +98,24 @@ def spdx(packages: DataFrame, edges: DataFrame) -> DataFrame:
     links = edges.where("child IS NOT NULL").groupBy("package").agg(F.sort_array(F.collect_list(link)).alias("relationships"))
     whole = listed.join(links, "package", "left")
     return whole.select("package", F.to_json(F.struct(F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("SPDXRef-DOCUMENT").alias("SPDXID"), F.col("package").alias("name"), "packages", F.coalesce("relationships", F.array()).alias("relationships"))).alias("document"))
+
+
+def relative(path: Column, base: Column) -> Column:
+    """Paths for reports that are passed on: what lies below base is relative to it, the rest stays."""
+    root = F.concat(F.regexp_replace(base, r"/+\z", ""), F.lit("/"))
+    return F.when(F.startswith(path, root), path.substr(F.length(root) + 1, F.length(path))).otherwise(path)
+
+
+def workspace(path: Column) -> Column:
+    """A target's own path as <workspace>/its last part."""
+    parts = F.filter(F.split(path, r"[\\/]"), lambda p: p != "")
+    return F.concat(F.lit("<workspace>/"), F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("target")))
+
+
+def rules_document(rules: tuple) -> str:
+    """The rule catalog as Markdown, by category."""
+    out = ["# Rules"]
+    for category in dict.fromkeys(r.category for r in rules):
+        out += ["", f"## {category}", "", "| id | name | severity |", "|---|---|---|"]
+        out += [f"| {r.id} | {r.name} | {r.severity} |" for r in rules if r.category == category]
+    return "\n".join(out) + "\n"

@@ -20,7 +20,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     return d.select(
         F.concat_ws("/", "source", F.floor(F.col("doc_id") / 200).cast("string")).alias("package"),
-        F.concat("source", F.lit("/"), F.when(F.col("doc_id") % 7 == 3, "test/").when(F.col("doc_id") % 7 == 5, "examples/").otherwise(""), F.col("doc_id").cast("string"), F.lit("."), F.coalesce("lang", F.lit("txt"))).alias("path"),
+        F.concat("source", F.lit("/"), F.when(F.col("doc_id") % 7 == 3, "test/").when(F.col("doc_id") % 7 == 5, "examples/").when(F.col("doc_id") % 7 == 6, "scripts/check-").otherwise(""), F.col("doc_id").cast("string"), F.lit("."), F.coalesce("lang", F.lit("txt"))).alias("path"),
         F.coalesce("text", F.lit("")).alias("content"), "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"),
     )
 
@@ -47,7 +47,7 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The same for DuckDB.
 FILES = """files AS (SELECT source || '/' || (doc_id // 200) AS package,
-  source || '/' || CASE doc_id % 7 WHEN 3 THEN 'test/' WHEN 5 THEN 'examples/' ELSE '' END || doc_id || '.' || coalesce(lang, 'txt') AS path,
+  source || '/' || CASE doc_id % 7 WHEN 3 THEN 'test/' WHEN 5 THEN 'examples/' WHEN 6 THEN 'scripts/check-' ELSE '' END || doc_id || '.' || coalesce(lang, 'txt') AS path,
   coalesce(text, '') AS content, doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size FROM documents)"""
 
 
@@ -71,7 +71,7 @@ def weight_sql(rank: str) -> str:
     return _WEIGHT.format(r=rank)
 
 
-CONTEXT = r"CASE WHEN regexp_matches(path, '(?i)(^|[\\/])(?:test|tests|__tests__|spec|e2e)([\\/]|\.)|\.(?:spec|test|e2e)\.') THEN 'test' WHEN regexp_matches(path, '(?i)(^|[\\/])(?:evals?|bench|benchmarks?|examples?|fixtures?)[\\/]') THEN 'development' ELSE 'source' END"
+CONTEXT = r"CASE WHEN regexp_matches(path, '(?i)(^|[\\/])(?:test|tests|__tests__|spec|e2e)([\\/]|\.)|\.(?:spec|test|e2e)\.') THEN 'test' WHEN regexp_matches(path, '(?i)(^|[\\/])(?:evals?|bench|benchmark|benchmarks|examples?|fixtures)([\\/]|$)|(^|[\\/])(?:scripts[\\/])?(?:release|live-e2e|check|check-package|dev-run|docs-list)(?:[.\\/-]|$)') THEN 'development' ELSE 'source' END"
 
 HITS = f"""{FILES}, {_pack_sql()},
 m AS (SELECT package, path, rule_id, severity, category, pattern_no, regexp_extract_all(content, re)[1:{MATCH_GUARD}] AS ms, string_split_regex(content, re) AS sp

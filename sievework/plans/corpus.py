@@ -33,12 +33,12 @@ def drift_full_outer(spark: SparkSession, sf: str) -> DataFrame:
     return supply.drift(side(d.where("doc_id % 17 <> 0"), F.col("text")), side(d.where("doc_id % 13 <> 0"), changed))
 
 
-@query("""WITH k AS (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, ts FROM events), a AS (SELECT event_type AS key, max(k) AS v FROM k WHERE ts < TIMESTAMP '2024-01-10' AND k < 50 GROUP BY 1), z AS (SELECT event_type AS key, max(k) AS v FROM k WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1) SELECT coalesce(a.key, z.key) AS key, a.v AS before, z.v AS after FROM a FULL JOIN z ON a.key = z.key WHERE a.v IS DISTINCT FROM z.v""")
+@query("""WITH k AS (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, ts FROM events), a AS (SELECT event_type AS key, max(k) AS v FROM k WHERE ts < TIMESTAMP '2024-01-10' GROUP BY 1), z AS (SELECT event_type AS key, max(k) AS v FROM k WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1) SELECT coalesce(a.key, z.key) AS key, a.v AS before, z.v AS after FROM a FULL JOIN z ON a.key = z.key WHERE a.v IS DISTINCT FROM z.v""")
 def script_diff(spark: SparkSession, sf: str) -> DataFrame:
     e = b.read(spark, sf, "events").select(F.col("event_type").alias("key"), F.get_json_object("props", "$.k").cast("long").alias("k"), "ts")
     half = lambda x: x.groupBy("key").agg(F.max("k").alias("value"))
     early = F.col("ts") < F.lit("2024-01-10").cast("timestamp")
-    return supply.value_diff(half(e.where(early & (F.col("k") < 50))), half(e.where(~early))).select("key", "before", "after")
+    return supply.value_diff(half(e.where(early)), half(e.where(~early))).select("key", "before", "after")
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
@@ -128,11 +128,11 @@ def mismatch_flags(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", supply.reasons(*checks).alias("observed"))
 
 
-@query(r"""WITH i AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')) AS ip FROM documents), o AS (SELECT doc_id, ip, CAST(split_part(ip, '.', 1) AS INT) AS a, CAST(split_part(ip, '.', 2) AS INT) AS b, CAST(split_part(ip, '.', 3) AS INT) AS c, CAST(split_part(ip, '.', 4) AS INT) AS d FROM i) SELECT doc_id, ip, greatest(a, b, c, d) > 255 OR a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND (b = 168 OR (b = 0 AND c IN (0, 2)))) OR (a = 198 AND (b IN (18, 19) OR (b = 51 AND c = 100))) OR (a = 203 AND b = 0 AND c = 113) AS private FROM o""")
+@query(r"""WITH i AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')) AS ip FROM documents), o AS (SELECT doc_id, ip, CAST(split_part(ip, '.', 1) AS INT) AS a, CAST(split_part(ip, '.', 2) AS INT) AS b, CAST(split_part(ip, '.', 3) AS INT) AS c, CAST(split_part(ip, '.', 4) AS INT) AS d FROM i) SELECT doc_id, ip, a IN (0, 10, 127) OR a >= 224 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) AS private FROM o""")
 def private_ip_filter(spark: SparkSession, sf: str) -> DataFrame:
     d = b.read(spark, sf, "documents")
     ips = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"), F.lit(0))).alias("ip"))
-    return ips.select("doc_id", "ip", T.private_ipv4(F.col("ip")).alias("private"))
+    return ips.select("doc_id", "ip", T.private_ip(F.col("ip")).alias("private"))
 
 
 #: Names of secrets by language, and the hosts they may go to.
@@ -151,14 +151,9 @@ def host_extract(spark: SparkSession, sf: str) -> DataFrame:
     return b.page_paths(spark, sf).select("page_id", "host")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS u, (l_partkey * 7 + l_suppkey) % 500 AS v FROM lineitem WHERE l_quantity = 50), w(node, source, round) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey < 5 UNION SELECT e.v, w.source, w.round + 1 FROM w JOIN e ON w.node = e.u WHERE w.round < 6) SELECT node, source, CAST(min(round) AS INTEGER) AS round FROM w GROUP BY node, source""")
-def taint_closure(spark: SparkSession, sf: str) -> DataFrame:
-    return _closure(b.read(spark, sf, "lineitem").where("l_quantity = 50"), b.read(spark, sf, "part").where("p_partkey < 5"))
-
-
 @query()
-def taint_closure_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All line items are edges and all parts seeds; the SQL of taint_closure has those of quantity 50 and parts below 5 only."""
+def taint_closure(spark: SparkSession, sf: str) -> DataFrame:
+    """All line items are edges and all parts seeds; too much for SQL that has no bound on a round. Tests hold it against brute force."""
     return _closure(b.read(spark, sf, "lineitem"), b.read(spark, sf, "part"))
 
 
@@ -208,20 +203,14 @@ def profile_union(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("name").agg(F.min("priority").alias("priority"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def role_antijoin(spark: SparkSession, sf: str) -> DataFrame:
-    o = b.read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = b.read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return b.read(spark, sf, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_anti")
 
 
-@query("SELECT o_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_shipdate < o_orderdate THEN 'early' END, CASE WHEN l_quantity > 45 THEN 'bulk' END, CASE WHEN o_orderstatus <> l_linestatus THEN 'status' END) AS reasons FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1")
+@query("SELECT o_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_shipdate < o_orderdate THEN 'early' END, CASE WHEN l_quantity > 45 THEN 'bulk' END, CASE WHEN o_orderstatus <> l_linestatus THEN 'status' END) AS reasons FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def provenance_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    return _provenance(b.read(spark, sf, "orders"), b.read(spark, sf, "lineitem").where("l_linenumber = 1"))
-
-
-@query()
-def provenance_reasons_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All line items; the SQL of provenance_reasons has the first of each order only."""
     return _provenance(b.read(spark, sf, "orders"), b.read(spark, sf, "lineitem"))
 
 
@@ -245,14 +234,8 @@ def sbom_components(spark: SparkSession, sf: str) -> DataFrame:
     return b.read(spark, sf, "part").select(T.purl(F.col("p_name"), version, "generic").alias("purl"), F.col("p_name").alias("name"), version.alias("version"))
 
 
-@query(f"WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey < 20) SELECT l_suppkey AS ref, array_to_string(list_sort(list({_PURL})), ';') AS depends_on FROM e JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey")
+@query(f"WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT l_suppkey AS ref, array_to_string(list_sort(list({_PURL})), ';') AS depends_on FROM e JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey")
 def sbom_dependencies(spark: SparkSession, sf: str) -> DataFrame:
-    return _dependencies(b.read(spark, sf, "lineitem").where("l_suppkey < 20"), b.read(spark, sf, "part"))
-
-
-@query()
-def sbom_dependencies_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All suppliers; the SQL of sbom_dependencies has those below 20 only."""
     return _dependencies(b.read(spark, sf, "lineitem"), b.read(spark, sf, "part"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.plans import audit, corpus
+from sievework.plans import audit, corpus, packages
 
-QUERIES: dict = audit.QUERIES | corpus.QUERIES
-ORACLE: dict[str, str] = audit.ORACLE | corpus.ORACLE
+QUERIES: dict = audit.QUERIES | corpus.QUERIES | packages.QUERIES
+ORACLE: dict[str, str] = audit.ORACLE | corpus.ORACLE | packages.ORACLE

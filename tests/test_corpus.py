@@ -24,7 +24,7 @@ def test_dependencies_of_all_suppliers(spark, small):
     want = {}
     for _, _, part, supplier, *_ in LINES:
         want.setdefault(supplier, set()).add(f"pkg:generic/{PARTS[part].replace('@', '%40')}@{part}")
-    got = registry.QUERIES["sbom_dependencies_all"](spark, small).collect()
+    got = registry.QUERIES["sbom_dependencies"](spark, small).collect()
     assert {r.ref: r.depends_on for r in got} == {k: ";".join(sorted(v)) for k, v in want.items()} and len(got) == 4
 
 
@@ -34,7 +34,7 @@ def test_provenance_of_all_line_items(spark, small):
     for order, number, _, _, quantity, shipped, status in LINES:
         checks = ((shipped < of[order][0], "early"), (quantity > 45, "bulk"), (of[order][1] != status, "status"))
         want.append((order, number, ",".join(n for hit, n in checks if hit)))
-    got = registry.QUERIES["provenance_reasons_all"](spark, small).collect()
+    got = registry.QUERIES["provenance_reasons"](spark, small).collect()
     assert sorted((r.o_orderkey, r.l_linenumber, r.reasons) for r in got) == sorted(want)
 
 
@@ -45,6 +45,6 @@ def test_closure_over_all_line_items_and_parts(spark, small):
         front = {(v, source) for node, source in front for u, v in edges if u == node}
         for x in front:
             want.setdefault(x, i)
-    got = registry.QUERIES["taint_closure_all"](spark, small).collect()
+    got = registry.QUERIES["taint_closure"](spark, small).collect()
     assert {(r.node, r.source): r.round for r in got} == want and len(got) == len(want)
     assert {s for n, s in want if n != s} == {1, 2, 3, 700}

@@ -122,9 +122,10 @@ def test_hosts_and_addresses(spark):
     urls = ["http://Ex.com:80/a", "https://u@h/x", "http://[::1]/", "nope", None]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert [r.h for r in df.select(T.host(F.col("u")).alias("h")).collect()] == ["ex.com", "h", "::1", None, None]
-    ips = {"8.8.8.8": False, "10.1.1.1": True, "172.16.0.1": True, "172.32.0.1": False, "169.254.169.254": True, "300.1.1.1": True, "100.64.0.1": True, "203.0.113.9": True, "224.0.0.1": True}
+    ips = {"8.8.8.8": False, "10.1.1.1": True, "172.16.0.1": True, "172.32.0.1": False, "169.254.169.254": True, "300.1.1.1": True, "100.64.0.1": False, "203.0.113.9": False, "224.0.0.1": True, "::1": True, "fe80::1": True, "2606:4700::1": False}
     df = spark.createDataFrame([(i,) for i in ips], "i string")
-    assert {r.i: r.p for r in df.select("i", T.private_ipv4(F.col("i")).alias("p")).collect()} == ips
+    assert {r.i: r.p for r in df.select("i", T.private_ip(F.col("i")).alias("p")).collect()} == ips
+    assert {r.i for r in df.select("i", T.private_ip(F.col("i"), wide=True).alias("p")).collect() if r.p} == {i for i in ips if i not in ("8.8.8.8", "172.32.0.1", "2606:4700::1")}
 
 
 def test_regions(spark):
