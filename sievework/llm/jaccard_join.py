@@ -6,6 +6,7 @@ between them is where the subsets begin to cost more than the lists. Tokens are
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -25,9 +26,10 @@ WORDS, SIMILAR = 5, (80, 100)
 MOST_FREQUENT, FREQUENT = 1 << 17, 0.004
 #: The boundary is sought below this size.
 LIGHT_MOST = 24
-#: Rounds before all pairs of different components are compared. In these a short list's members are compared with one
-#: leader, and each member of a longer list with its few most promising ones, so that large groups become few components.
-ROUNDS, LONG, FEW = 3, 32, 4
+#: Before all pairs of different components are compared, two rounds make large groups few components: in the first, members
+#: of a list are compared with one leader; in the second, each member of a list longer than LONG with its FEW most promising
+#: ones. After a round, lists whose members are all in one component are dropped.
+LONG, FEW = 32, 4
 #: A sketch has a bit for each cell that a token falls in, about four cells a token within these bounds. Tokens in cells that
 #: another set has empty are not in it, which bounds an intersection from above before whole sets are looked at.
 LEAST_CELLS, MOST_CELLS = 64, 1 << 16
@@ -210,15 +212,16 @@ def _crowd(n, ident, comp, bits, t: tuple[int, int], few: int | None):
     return ident[pairs[:, 0]], ident[pairs[:, 1]]
 
 
-def _pairs(t: tuple[int, int], last: bool):
+def _pairs(t: tuple[int, int], turn: int):
     """A function over sorted lists (key, n, id, pos, comp, size, bits): pairs to look at. A list goes on over batches.
 
-    In short lists: each member with the leader of its size class; in the last round all pairs of different components.
-    In long lists see _crowd()."""
+    In short lists, and in the first round in all: each member with the leader of its size class; in the last round all pairs
+    of different components. In long lists see _crowd()."""
+    last = turn == 2
 
     def emit(key, n, ident, pos, comp, size, bits):
         x, y = [], []
-        long = np.flatnonzero(size > LONG)
+        long = np.flatnonzero(size > (LONG if turn else np.inf))
         if len(long):
             cuts = np.flatnonzero(np.concatenate(([True], key[long][1:] != key[long][:-1], [True])))
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -226,7 +229,7 @@ def _pairs(t: tuple[int, int], last: bool):
                 u, v = _crowd(n[mine], ident[mine], comp[mine], [bits[i] for i in mine], t, None if last else FEW)
                 x.append(u)
                 y.append(v)
-        short = np.flatnonzero(size <= LONG)
+        short = np.flatnonzero(size <= (LONG if turn else np.inf))
         key, n, ident, pos, comp = (c[short] for c in (key, n, ident, pos, comp))
         if len(short):
             if last:
@@ -278,16 +281,21 @@ def _pairs(t: tuple[int, int], last: bool):
     return run
 
 
-def _candidates(entries: DataFrame, distinct: DataFrame, comps: DataFrame | None, t: tuple[int, int], last: bool) -> DataFrame:
-    if comps is None:
-        entries = entries.withColumn("comp", F.col("id"))
-    else:
-        entries = entries.join(comps.select("id", F.col("root")), "id", "left").withColumn("comp", F.coalesce("root", "id"))
+def _candidates(entries: DataFrame, distinct: DataFrame, t: tuple[int, int], turn: int) -> DataFrame:
     columns = ["key", "n", "id", "pos", "comp", "size"]
-    short = entries.where(F.col("size") <= LONG).select(*columns, F.lit(None).cast("binary").alias("bits"))
-    long = entries.where(F.col("size") > LONG).join(distinct.select("id", F.col("sketch").alias("bits")), "id").select(*columns, "bits")
-    dealt = short.unionByName(long).repartition("key").sortWithinPartitions("key", "n", "id")
-    return dealt.mapInArrow(_pairs(t, last), "u long, v long").distinct()
+    none = F.lit(None).cast("binary").alias("bits")
+    rows = entries.select(*columns, none)
+    if turn:  # sketches are needed in long lists only
+        long = entries.where(F.col("size") > LONG).join(distinct.select("id", F.col("sketch").alias("bits")), "id").select(*columns, "bits")
+        rows = rows.where(F.col("size") <= LONG).unionByName(long)
+    dealt = rows.repartition("key").sortWithinPartitions("key", "n", "id")
+    return dealt.mapInArrow(_pairs(t, turn), "u long, v long").distinct()
+
+
+def _thinned(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    """Entries with their components, of lists that still have members of two components."""
+    known = entries.drop("comp").join(comps.select("id", "root"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+    return known.select(*entries.columns).repartition("key").sortWithinPartitions("key").mapInArrow(_lists(_mixed), entries.schema)
 
 
 def _possible(t: tuple[int, int]):
@@ -377,17 +385,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: tuple[int, int
     drop_written(every)
     entries = whole.select("id", "n", F.posexplode("keys").alias("pos", "key"))
     entries = entries.unionByName(whole.select("id", "n", F.lit(-1).alias("pos"), F.explode(F.array_distinct("light")).alias("key")))
-    entries = written(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_several, "id long, n long, pos int, key long, size long"), "entries")
+    entries = entries.repartition("key").sortWithinPartitions("key").mapInArrow(_lists(_doubled), "id long, n long, pos int, key long, size long")
+    entries = written(entries.withColumn("comp", F.col("id")), "entries")
     distinct = written(whole.drop("keys", "light"), "sketches")
     drop_written(whole)
     links, comps = None, None
-    for turn in range(ROUNDS + 1):  # each round's components thin out the next one's pairs
-        pairs = written(_candidates(entries, distinct, comps, similar, turn == ROUNDS), "pairs")
+    for turn in range(3):
+        pairs = written(_candidates(entries, distinct, similar, turn), "pairs")
         found = _links(pairs, distinct, docs, words, similar)
         both = found if links is None else written(links.unionByName(found), "links")
         grown = written(components(both), "components")
         drop_written(pairs, comps, *(() if links is None else (links, found)))
         links, comps = both, grown
+        if turn < 2:
+            fewer = written(_thinned(entries, comps), "entries")
+            drop_written(entries)
+            entries = fewer
     named = distinct.select("id", "a", "b", "least").join(comps, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("a", "b", "root", "component_id")
     named = written(named, "named")
@@ -397,27 +410,41 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: tuple[int, int
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("root").alias("component"))
 
 
-def _several(batches):
-    """From entries sorted by key, those whose key has two sets at least, with their number; a key may go on over batches."""
-    held = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        key = t.column("key").to_numpy()
-        if not len(key):
-            continue
-        last = int(np.searchsorted(key, key[-1], "left"))
-        yield from _doubled(t.slice(0, last), key[:last])
-        held = t.slice(last).combine_chunks()
-    if held is not None:
-        yield from _doubled(held, held.column("key").to_numpy())
-
-
-def _doubled(t: pa.Table, key: np.ndarray):
-    if len(key) > 1:
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        count = np.diff(np.append(first, len(key)))
-        size = np.repeat(count, count)
-        yield from t.append_column("size", pa.array(size)).filter(pa.array(size > 1)).combine_chunks().to_batches()
+def _lists(keep: Callable):
+    """A function over entries sorted by key: those that keep(table, first row of each list, size of each) leaves. A list may
+    go on over batches."""
+
+    def whole(t: pa.Table, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(key) > 1:
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            yield from keep(t, first, np.diff(np.append(first, len(key)))).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            key = t.column("key").to_numpy()
+            if not len(key):
+                continue
+            last = int(np.searchsorted(key, key[-1], "left"))
+            yield from whole(t.slice(0, last), key[:last])
+            held = t.slice(last).combine_chunks()
+        if held is not None:
+            yield from whole(held, held.column("key").to_numpy())
+
+    return run
+
+
+def _doubled(t: pa.Table, first: np.ndarray, count: np.ndarray) -> pa.Table:
+    """Lists of two members at least, with their size."""
+    size = np.repeat(count, count)
+    return t.append_column("size", pa.array(size)).filter(pa.array(size > 1))
+
+
+def _mixed(t: pa.Table, first: np.ndarray, count: np.ndarray) -> pa.Table:
+    """Lists with members of two components at least."""
+    comp = t.column("comp").to_numpy()
+    return t.filter(pa.array(np.repeat(np.minimum.reduceat(comp, first) < np.maximum.reduceat(comp, first), count)))
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:

@@ -30,7 +30,7 @@ DECAY = {"word": 0.3, "char": 0.05}
 WORD_SIZE, CHAR_SIZE, HIDDEN, CHAR_BUCKETS = 8, 4, 8, 2048
 #: Times that the worst windows are found anew, and steps of training at least, however few documents there are.
 EPOCHS, STEPS = 12, 840
-CHUNK = 4096
+CHUNK, TRAIN_CHUNK = 4096, 1024
 #: Lower case for A-Z; other bytes stay. Words are runs of ASCII letters and of bytes of characters beyond ASCII.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[0x41:0x5B] += 32
@@ -57,7 +57,7 @@ def trigrams(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     last[1:], last[at[:-1]] = here[:-1], 32
     after = np.empty_like(here)
     after[:-1], after[at[1:] - 1] = here[1:], 32
-    return (mix(last << np.uint64(16) | here << np.uint64(8) | after) >> np.uint64(53)).astype(np.int64), at[:-1]
+    return (mix(last << np.uint64(16) | here << np.uint64(8) | after) >> np.uint64(53)).astype(np.int16), at[:-1]
 
 
 def windows(before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,15 +195,15 @@ def _read(texts: list[bytes]):
         some = texts[k : k + 256]
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in some]))).astype(np.int64)
         low, found, starts, ends, number, before = distinct_words(np.frombuffer(b"".join(some), np.uint8), offsets)
-        held.append((found, *trigrams(low, starts, ends), number, np.diff(before)))
-    none = np.zeros(0, np.int64)
+        held.append((found, *trigrams(low, starts, ends), number.astype(np.int32), np.diff(before)))
+    none = np.zeros(0, np.int32)
     join = lambda xs: np.concatenate(list(xs) or [none])
     found, place, inverse = np.unique(join(h[0] for h in held), return_index=True, return_inverse=True)
     grams, shift = join(h[1] for h in held), np.cumsum([0, *(len(h[1]) for h in held)])
     at = join(h[2] + s for h, s in zip(held, shift, strict=False))
     count = np.diff(np.append(at, len(grams)))
     words = np.cumsum([0, *(len(h[0]) for h in held)])
-    number = inverse[join(h[3] + w for h, w in zip(held, words, strict=False))]
+    number = inverse.astype(np.int32)[join(h[3] + np.int32(w) for h, w in zip(held, words, strict=False))]
     at, count = at[place], count[place]
     grams = grams[np.repeat(at - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())] if len(at) else none
     return found, grams, np.cumsum(count) - count, count, number, np.concatenate(([0], np.cumsum(join(h[4] for h in held)))).astype(np.int64)
@@ -212,10 +212,12 @@ def _read(texts: list[bytes]):
 def _train(texts: list[bytes], y: np.ndarray) -> Network:
     rows = len(texts)
     found, grams, at, count, number, before = _read(texts)
-    pair = np.unique(np.repeat(np.arange(rows), np.diff(before)) * max(len(found), 1) + number) if len(found) else np.zeros(0, np.int64)
-    of, word = pair // max(len(found), 1), pair % max(len(found), 1)
-    df = np.bincount(word, minlength=len(found))
     rate = y.mean() if rows else 0.0
+    df, toxic = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+    for k in range(rows):  # the distinct words of one document at a time
+        mine = np.unique(number[before[k] : before[k + 1]])
+        df[mine] += 1
+        toxic[mine] += y[k] > 0
     known = np.flatnonzero(df >= LEAST_DOCUMENTS)
     if len(known) > MOST_WORDS:
         known = np.sort(known[np.argsort(-df[known], kind="stable")[:MOST_WORDS]])
@@ -227,7 +229,7 @@ def _train(texts: list[bytes], y: np.ndarray) -> Network:
     mine = net.number(found)
     rng = np.random.default_rng(5)
     # at first a document stands by the window with the word that is most often in toxic ones; the network sees none of this
-    often = np.where(df >= LEAST_DOCUMENTS, (np.bincount(word, weights=y[of], minlength=len(found)) - df * rate) / np.sqrt(df * rate + 1), 0)
+    often = np.where(df >= LEAST_DOCUMENTS, (toxic - df * rate) / np.sqrt(df * rate + 1), 0)
     score = np.maximum.reduceat(np.append(often[number], 0), np.stack([first, first + length], 1).ravel())[::2]
     mean: dict[str, np.ndarray] = {}
     m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
@@ -238,8 +240,8 @@ def _train(texts: list[bytes], y: np.ndarray) -> Network:
             gates = net.gates(net.inputs(mine, grams, at))
             steps = np.arange(WINDOW)[:, None]
             score = np.zeros(len(row), np.float32)
-            for k in range(0, len(row), CHUNK):
-                w = slice(k, k + CHUNK)
+            for k in range(0, len(row), TRAIN_CHUNK):
+                w = slice(k, k + TRAIN_CHUNK)
                 inside = steps < length[w]
                 score[w] = net.forward(gates, number[np.where(inside, first[w] + steps, first[w])], inside)
         order = np.lexsort((-score, row))
@@ -260,7 +262,10 @@ def _train(texts: list[bytes], y: np.ndarray) -> Network:
                 m[name] += 0.1 * (g - m[name])
                 v[name] += 0.01 * (g * g - v[name])
                 net.p[name] -= 0.01 * (m[name] / (1 - 0.9**step) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6) + DECAY.get(name, 0.01) * net.p[name])
-                mean[name] = net.p[name].copy() if name not in mean else mean[name] + np.float32(AVERAGE) * (net.p[name] - mean[name])
+                if name in mean:
+                    mean[name] += np.float32(AVERAGE) * (net.p[name] - mean[name])
+                else:
+                    mean[name] = net.p[name].copy()
     net.p = mean
     return net
 
