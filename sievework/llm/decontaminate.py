@@ -168,8 +168,9 @@ def _count(benchmark: DataFrame, block_bytes: int) -> int:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs without any hit word, with all their columns: a contaminated document goes as a whole. Each block of
-    the benchmark is one pass, without a shuffle."""
+    """The rows of docs without any hit word, with all their columns: a contaminated document goes as a whole. Null and empty
+    texts and all rows, for an empty benchmark, stay; repeated rows are treated alike. Each block of the benchmark is one
+    pass, without a shuffle."""
     n = _count(benchmark, block_bytes)
     for k in range(n):
         scan = scanner(item_windows(_items(benchmark, k, n), width))
@@ -184,6 +185,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: i
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """decontaminate() as op2 returns it, one row a row of it; nulls, empty texts and repeated rows are as there."""
     return found.select(
         "doc_id",
         "n_words",

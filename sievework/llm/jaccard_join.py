@@ -465,10 +465,11 @@ def deduplicate(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     def maybe(mark: pd.Series, th: pd.Series) -> pd.Series:
         return pd.Series(in_bloom(bits.value, mark.to_numpy(), th.to_numpy()))
 
-    th, mark = unused([*docs.columns, "gone_id", "gone_th"], "th", "mark")
+    th, mark, gone_id, gone_th = unused(docs.columns, "th", "mark", "gone_id", "gone_th")
     keyed = docs.withColumn(th, F.xxhash64("text")).withColumn(mark, F.xxhash64(F.col("doc_id").cast("long"), F.col(th)))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     some = maybe(F.col(mark), F.col(th))
-    met = keyed.where(some).join(moved.where("goes").select("gone_id", "gone_th"), F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col(th) == F.col("gone_th")), "left_anti")
+    gone = moved.where("goes").select(F.col("gone_id").alias(gone_id), F.col("gone_th").alias(gone_th))
+    met = keyed.where(some).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.col(th) == F.col(gone_th)), "left_anti")
     blank = F.coalesce(F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")), F.lit("")) == ""
     return keyed.where(~some).select(*columns).unionByName(met.where(blank).select(*columns)).unionByName(met.where(~blank).dropDuplicates(["doc_id", th]).select(*columns))

@@ -156,4 +156,32 @@ FROM k JOIN bo USING (key, epoch, b) WHERE epoch < full_ OR (NOT aside AND befor
 """
 
 
-ORACLE = {"op1_line_dedup": _OP1, "op2_decontaminate": _OP2, "op4_mixing": _op4(), "op6_substring_dedup": _OP6}
+#: Windows of 100 bytes as hex digits; all but the first of each, put together to runs.
+_OP3 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p - 1, 200)) AS v FROM (SELECT doc_id, h, unnest(generate_series(1, length(h) // 2 - 99)) AS p FROM d)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY v ORDER BY doc_id, p) AS i FROM w),
+f AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM r WHERE i > 1),
+g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM f),
+s AS (SELECT doc_id, run, min(p) AS lo, max(p) + 99 AS hi FROM g GROUP BY doc_id, run),
+e AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before_ FROM s),
+k AS (SELECT d.doc_id, sum(hi - lo + 1) AS n, count(*) AS spans, string_agg(substr(h, 2 * before_ + 1, 2 * (lo - before_ - 1)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept FROM e JOIN d USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+#: Every pair of documents that share a shingle, those that are similar, and what they reach.
+_OP8 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[p:p + 3], ' ')) AS k FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 3, 1))) AS p FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b USING (k) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM i JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r(node, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.v, r.root FROM r JOIN e ON r.node = e.u)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.root), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.node = d.doc_id GROUP BY d.doc_id
+"""
+
+
+ORACLE = {"op1_line_dedup": _OP1, "op2_decontaminate": _OP2, "op3_suffix_dedup": _OP3, "op4_mixing": _op4(), "op6_substring_dedup": _OP6, "op8_jaccard_join": _OP8}

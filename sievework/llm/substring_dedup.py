@@ -96,4 +96,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """substring_dedup() as op6 returns it, one row a row of docs; kept_sha256 is of the kept words. Nulls, blank texts, ties, repeated
+    rows and an empty table are as there."""
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

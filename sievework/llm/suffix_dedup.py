@@ -131,4 +131,6 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """suffix_dedup() as op3 returns it, one row a row of docs; kept_sha256 is of the remaining bytes. Nulls, empty texts, ties, repeated
+    rows and an empty table are as there."""
     return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

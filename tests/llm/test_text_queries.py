@@ -243,3 +243,124 @@ def test_network_gradient():
             down = loss()
             flat[i] = old
             assert abs((up - down) / 2e-3 - gf[i]) < 2e-3, (k, i)
+
+
+def plain_grams(text):
+    """N-grams of a text as they are described, one by one."""
+    low = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
+    low = re.sub(" +", " ", low).lstrip(" ")
+    return [low[i : i + n] for n in langid.LENGTHS for i in range(len(low) - n + 1) if n > 1 or low[i] != " "]
+
+
+def test_language_against_counting(labelled):
+    """Counts and log sums one n-gram at a time give the same posteriors."""
+    docs, _, _ = labelled
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.limit(150).collect()]
+    spark = docs.sparkSession
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    bucket = {}
+
+    def code(g):
+        if g not in bucket:
+            h = 0
+            for k, c in enumerate(g):
+                h = ((h + ord(c)) * int(langid._STEPS[k])) & 0xFFFFFFFF
+                h ^= h >> 15
+            bucket[g] = ((h + len(g)) * int(langid._STEPS[0]) & 0xFFFFFFFF) >> 17
+        return bucket[g]
+
+    counts, prior = {}, {}
+    for _, text, lang in rows:
+        if lang:
+            prior[lang] = prior.get(lang, 0) + 1
+            for g in plain_grams(text):
+                counts.setdefault(lang, {}).setdefault(code(g), 0)
+                counts[lang][code(g)] += 1
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, model).collect()}
+    for d, text, _ in rows[:40]:
+        logs = {}
+        for lang, c in counts.items():
+            total = sum(c.values()) + langid.SMOOTHING * langid.BUCKETS
+            logs[lang] = np.log(prior[lang] / sum(prior.values())) + sum(np.log((c.get(code(g), 0) + langid.SMOOTHING) / total) for g in plain_grams(text))
+        best = max(logs, key=logs.get)
+        assert got[d][0] == best
+        assert got[d][1] == pytest.approx(1 / sum(np.exp(v - logs[best]) for v in logs.values()), abs=1e-3)
+
+
+def test_word_vectors_against_counting(spark, frame, corpus):
+    """Neighbours added up one by one, and means and spreads over a text's words, are what the operator gives."""
+    place, sign = quality.index_vectors()
+    bucket = lambda w: int((quality.Prefix(np.frombuffer(w, np.uint8), 5)(np.array([0]), np.array([len(w)])) >> np.uint64(64 - quality.BITS))[0])
+    token = re.compile(rb"[0-9a-zA-Z\x80-\xff]+|[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]")
+    texts = [(t or "").encode() for _, t in corpus[:60]]
+    words = [[bucket(w) for w in token.findall(t)] for t in texts]
+    sums = {}
+    for ws in words:
+        for i, w in enumerate(ws):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(ws):
+                    v = sums.setdefault(w, np.zeros(quality.SIZE))
+                    for p, x in zip(place[ws[j]], sign[ws[j]]):
+                        v[p] += x
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+
+    def vector(w):
+        own = np.zeros(quality.SIZE)
+        for p, x in zip(place[w], sign[w]):
+            own[p] += x
+        return unit(unit(sums.get(w, np.zeros(quality.SIZE))) + unit(own))
+
+    got = quality.word_vectors(frame.where("doc_id < 60"))
+    for w in list(sums)[:200]:
+        assert np.allclose(got[w], vector(w), atol=1e-5)
+    offsets = np.cumsum([0, *map(len, texts)])
+    x = quality.pooled(np.frombuffer(b"".join(texts), np.uint8), offsets, got)
+    for k, ws in enumerate(words):
+        v = np.array([got[w] for w in ws]) if ws else np.zeros((1, quality.SIZE))
+        assert np.allclose(x[k], np.concatenate((v.mean(0), v.std(0))), atol=2e-3), k
+
+
+def test_forward_pass_against_one_step_at_a_time():
+    rng = np.random.default_rng(2)
+    net = toxicity.Network(np.arange(9, dtype=np.uint64))
+    for k, v in net.p.items():
+        net.p[k] = rng.normal(0, 0.7, v.shape)
+    x, ids = rng.normal(0, 1, (6, toxicity.WORD_SIZE + toxicity.CHAR_SIZE)), rng.integers(0, 6, (7, 4))
+    mask = np.arange(7)[:, None] < np.array([7, 5, 1, 3])
+    logit, h = net.forward(net.gates(x), ids, mask), toxicity.HIDDEN
+    for n in range(4):
+        states = {}
+        for side, steps in (("f", range(7)), ("b", range(6, -1, -1))):
+            s = np.zeros(h)
+            for t in steps:
+                if mask[t, n]:
+                    g, u = x[ids[t, n]] @ net.p[f"x{side}"] + net.p[f"c{side}"], s @ net.p[f"u{side}"]
+                    r, z = 1 / (1 + np.exp(-(g[:h] + u[:h]))), 1 / (1 + np.exp(-(g[h : 2 * h] + u[h : 2 * h])))
+                    s = (1 - z) * np.tanh(g[2 * h :] + r * u[2 * h :]) + z * s
+                states.setdefault(t, {})[side] = s
+        both = [np.concatenate((states[t]["f"], states[t]["b"])) for t in range(7) if mask[t, n]]
+        e = np.exp([b @ net.p["attend"] for b in both])
+        assert logit[n] == pytest.approx(sum(a * b for a, b in zip(e / e.sum(), both)) @ net.p["out"] + net.p["bias"][0], abs=1e-4)
+
+
+def test_part_epochs_leave_giants_aside(spark):
+    """A text larger than what is left of its source's budget does not shut out those after it."""
+    rows = [(0, " ".join(["w"] * 5000), "s0")] + [(i, "a b c d e", "s0") for i in range(1, 100)] + [(1000 + i, "x " * 50, "s1") for i in range(40)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), budget=0.3).collect()
+    mine = [r for r in got if r.source == "s0"]
+    assert 0 not in {r.doc_id for r in mine} and len(mine) == 99
+
+
+def test_clashing_names(spark):
+    """Columns of the caller that are named like helper columns come through as they are."""
+    from sievework.llm import line_dedup
+
+    docs = [(1, "a\nb\nc\nd e f g h", 7, 8), (2, "a\nb\nc\nx", 9, 10), (3, "a\nb\nc\nd e f g h", 11, 12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, th long, gone_th long").withColumns({c: F.lit(5) for c in ("gone_id", "dedup_th", "dedup_id", "near_t", "near_th", "mark", "mixed")}).withColumn("source", F.lit("s"))
+    one = line_dedup.line_dedup(df)
+    assert one.columns == [*df.columns, "dedup_runs"] and {r.doc_id: (r.th, r.gone_th, r.near_th) for r in one.collect()} == {1: (7, 8, 5), 2: (9, 10, 5), 3: (11, 12, 5)}
+    two = jaccard_join.deduplicate(df)
+    assert two.columns == df.columns and {r.doc_id: (r.th, r.gone_th) for r in two.collect()} == {1: (7, 8), 2: (9, 10)}
+    three = mixing.mix_sources(df)
+    assert {r.doc_id: (r.th, r.gone_th, r.mark) for r in three.collect()} == {1: (7, 8, 5), 2: (9, 10, 5), 3: (11, 12, 5)}
