@@ -139,7 +139,8 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN
     gone = written(_runs(covered).select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th), "dedup_runs"), "runs")
     drop_written(*held)
     keyed = docs.withColumn(th, F.xxhash64("text"))
-    both = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(th) == F.col(gone_th)), "left")
+    # a merge join at every size: the runs grow with the input, so the plan does not change where they cease to be small
+    both = keyed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(th) == F.col(gone_th)), "left")
     kept = F.filter(_line(F.col("text")), lambda x, i: ~F.exists("dedup_runs", lambda r: (i >= r["start"]) & (i < r["stop"])))
     text = F.when(F.col("dedup_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     runs = F.coalesce("dedup_runs", F.array().cast("array<struct<start:bigint,stop:bigint>>"))
