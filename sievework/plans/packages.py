@@ -1,7 +1,7 @@
 """Queries over packages with known files: every supplier is a package, and what each of its files should give is known.
 
-The SQL of these queries joins suppliers with tables of expected rows, written by hand, so that it shares nothing with the
-operators."""
+The SQL of these queries joins suppliers with tables of expected rows. These share no code with the operators, but were written
+down after their first output had been read against the rules."""
 
 from __future__ import annotations
 
