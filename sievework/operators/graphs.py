@@ -26,6 +26,11 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """df computed once: written to the folder of checkpoints, or kept by Spark where there is none."""
+    return _cut(df) if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
 def levels(edges: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
     """node, level, parent: breadth first from roots (node) along edges (u, v); of several parents the least. A step is a join
     with what is new; it ends when nothing is."""
@@ -45,12 +50,18 @@ def levels(edges: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
     return seen
 
 
-def recursive(spark, name: str, anchor: DataFrame, edges: DataFrame, step: str, most: int) -> DataFrame:
-    """A recursive query over views `name`_anchor and `name`_edges; step is SQL that refers to `name`."""
-    anchor.createOrReplaceTempView(f"{name}_anchor")
-    edges.createOrReplaceTempView(f"{name}_edges")
-    cols = ", ".join(anchor.columns)
-    return spark.sql(f"WITH RECURSIVE {name}({cols}) MAX RECURSION LEVEL {most} AS (SELECT {cols} FROM {name}_anchor UNION ALL {step}) SELECT * FROM {name}")
+def paths(edges: DataFrame, starts: DataFrame, most: int = 20) -> DataFrame:
+    """target, node, path: all ways from starts (target, node, path as an array that ends in node) along edges (u, v) that meet no
+    node twice, of at most `most` steps. A step is a join with the ways that the last one made longer; a recursive query would
+    end at a number of rows."""
+    out = front = starts.select("target", "node", "path")
+    for _ in range(most):
+        step = front.join(edges.select("u", "v").distinct(), front["node"] == F.col("u")).where(~F.array_contains("path", F.col("v")))
+        front = _held(step.select("target", F.col("v").alias("node"), F.array_append("path", F.col("v")).alias("path")))
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
+    return out
 
 
 def bounded_closure(edges: DataFrame, seeds: DataFrame, rounds: int = 6) -> DataFrame:
@@ -60,7 +71,7 @@ def bounded_closure(edges: DataFrame, seeds: DataFrame, rounds: int = 6) -> Data
     front = out
     for i in range(1, rounds + 1):
         front = front.join(edges, front["node"] == edges["u"]).select(F.col("v").alias("node"), "source").distinct()
-        front = front.join(out, ["node", "source"], "left_anti").withColumn("round", F.lit(i)).persist()
+        front = _held(front.join(out, ["node", "source"], "left_anti").withColumn("round", F.lit(i)))
         if front.isEmpty():
             break
         out = out.unionByName(front)

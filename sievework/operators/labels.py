@@ -15,18 +15,26 @@ def metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "tp", "fp", "fn", rate(F.col("tp") + F.col("fp")).alias("precision"), rate(F.col("tp") + F.col("fn")).alias("recall"), F.round(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 3).alias("f1"))
 
 
+def detected(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that are both expected and found, once each."""
+    return expected.select(*keys).intersect(found.select(*keys))
+
+
 def band_match(expected: DataFrame, found: DataFrame, band: int = 2) -> DataFrame:
     """item, rule_id, line, at: each expected (item, rule_id, line) takes the first free finding of its item and rule within
-    `band` lines, in order of lines. An item's rows are bounded by its file; groups are items."""
+    `band` lines, in order of lines: one pass over both. Groups are an item's findings of one rule, bounded by its file."""
 
     def greedy(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free, out = sorted(zip(right["rule_id"], right["line"], strict=True)), []
-        for rule, line in sorted(zip(left["rule_id"], left["line"], strict=True)):
-            hit = next((f for f in free if f[0] == rule and abs(f[1] - line) <= band), None)
-            if hit:
-                free.remove(hit)
-            out.append((left["item"].iloc[0], rule, line, hit[1] if hit else None))
+        free, out, k = sorted(right["line"].tolist()), [], 0
+        for line in sorted(left["line"].tolist()):
+            # lines rise, so what lies below one's band is of no use to any later one
+            while k < len(free) and free[k] < line - band:
+                k += 1
+            hit = k < len(free) and free[k] <= line + band
+            out.append((left["item"].iloc[0], left["rule_id"].iloc[0], line, free[k] if hit else None))
+            k += hit
         return pd.DataFrame(out, columns=["item", "rule_id", "line", "at"]).astype({"at": "Int64"})
 
     kind = expected.schema["item"].dataType.simpleString()
-    return expected.groupBy("item").cogroup(found.groupBy("item")).applyInPandas(greedy, f"item {kind}, rule_id string, line long, at long")
+    keys = ["item", "rule_id"]
+    return expected.groupBy(*keys).cogroup(found.groupBy(*keys)).applyInPandas(greedy, f"item {kind}, rule_id string, line long, at long")

@@ -99,9 +99,9 @@ def glob_ignore(spark: SparkSession, sf: str) -> DataFrame:
     return b.page_paths(spark, sf).groupBy(first.alias("ignored_by")).agg(F.count(F.lit(1)).alias("paths"))
 
 
-@query(f"WITH {HITS} SELECT path, rule_id, line, suppressed FROM hits WHERE rule_id IN ('CORP-OBF-001', 'CORP-SECRET-001')")
+@query(f"WITH {HITS} SELECT path, rule_id, line, suppressed FROM hits")
 def suppression_flag(spark: SparkSession, sf: str) -> DataFrame:
-    return fd.suppress(b.hits(spark, sf)).where(F.col("rule_id").isin("CORP-OBF-001", "CORP-SECRET-001")).select("path", "rule_id", "line", "suppressed")
+    return fd.suppress(b.hits(spark, sf)).select("path", "rule_id", "line", "suppressed")
 
 
 def _stats(column: str):

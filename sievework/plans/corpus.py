@@ -80,10 +80,11 @@ def bfs_levels(spark: SparkSession, sf: str) -> DataFrame:
 def reverse_paths(spark: SparkSession, sf: str) -> DataFrame:
     n, c = b.read(spark, sf, "nation"), b.read(spark, sf, "customer")
     s = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
-    edges = n.select(s("n", "n_nationkey").alias("child"), s("r", "n_regionkey").alias("parent"))
-    anchor = c.select(F.col("c_custkey").alias("target"), s("n", "c_nationkey").alias("node"), F.concat(s("c", "c_custkey"), F.lit("<"), s("n", "c_nationkey")).alias("path"))
-    walked = graphs.recursive(spark, "up", anchor, edges, "SELECT up.target, e.parent, concat(up.path, '<', e.parent) FROM up JOIN up_edges e ON up.node = e.child WHERE NOT contains(up.path, concat('<', e.parent))", 20)
-    return walked.where(F.col("node").startswith("r")).select("target", "path")
+    edges = n.select(s("n", "n_nationkey").alias("u"), s("r", "n_regionkey").alias("v"))
+    node = s("n", "c_nationkey")
+    starts = c.select(F.col("c_custkey").alias("target"), node.alias("node"), F.array(s("c", "c_custkey"), node).alias("path"))
+    walked = graphs.paths(edges, starts).where(F.col("node").startswith("r"))
+    return walked.select("target", F.array_join("path", "<").alias("path"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') THEN 'direct' WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'transitive' ELSE 'none' END AS kind FROM customer")
@@ -189,6 +190,14 @@ def hardskip_hints(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.contains(F.substring("text", 1, 4096), F.char(F.lit(0))).alias("is_binary"), urls.alias("urls"), F.col("text").rlike("(?i)eval|exec|spawn").alias("keywords"), F.col("text").rlike("[A-Za-z0-9+/]{40}").alias("blob"), F.sha2("text", 256).alias("digest"))
 
 
+@query("SELECT event_type AS rule_id, user_id AS item FROM events WHERE ts < TIMESTAMP '2024-01-10' INTERSECT SELECT event_type, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-10'")
+def expected_and_found(spark: SparkSession, sf: str) -> DataFrame:
+    """What the first days have is expected, what the others have is found."""
+    e = b.read(spark, sf, "events").select(F.col("event_type").alias("rule_id"), F.col("user_id").alias("item"), "ts")
+    early = F.col("ts") < F.lit("2024-01-10").cast("timestamp")
+    return labels.detected(e.where(early), e.where(~early), ["rule_id", "item"])
+
+
 @query()
 def band_match(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy one-to-one matches are order-dependent; SQL cannot express them."""

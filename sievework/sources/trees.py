@@ -77,6 +77,13 @@ def list_tree(root: str, package: str, mode: str = "package", ignore: tuple[str,
     return out
 
 
+def list_file(path: str, package: str, full: int = MAX_FULL_BYTES, lite: int = MAX_LITE_BYTES) -> Listing:
+    """One file as a listing: no folder, glob or class of extension keeps it out. A file above `full` is still read whole; above
+    `lite` it stays metadata, and the scan is not complete."""
+    size = os.stat(path).st_size
+    return Listing([(package, os.path.basename(path), path, size, "full" if size <= max(full, lite) else "hard", None)])
+
+
 def read_listed(spark: SparkSession, listing: Listing) -> DataFrame:
     """files (package, path, size, klass, bytes, content): bytes of native files' first and last 64 KB, content of full and lite
     ones; hard ones stay metadata. A file that cannot be read has nulls, which count as failures later."""

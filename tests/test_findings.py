@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 from sievework.operators import findings as fd
-from sievework.operators.labels import band_match, metrics
+from sievework.operators.labels import band_match, detected, metrics
 from sievework.operators.match import match_rules
 from sievework.operators.regions import contain
 from sievework.plans.catalog import Rule, audit_pack, corpus_pack, rules_table
@@ -143,5 +143,25 @@ def test_labels(spark):
     assert sorted((r.item, r.line, r.at) for r in m.collect() if r.at) == [("i", 10, 9), ("i", 11, 12)]
 
 
+def test_band_match_is_the_greedy_one(spark):
+    import random
+
+    rng, schema = random.Random(5), "item string, rule_id string, line long"
+    draw = lambda n: [(rng.choice("ab"), rng.choice("rs"), rng.randrange(40)) for _ in range(n)]
+    expected, found = draw(60), draw(50)
+    want, free = [], sorted(found)
+    for item, rule, line in sorted(expected):
+        hit = next((f for f in free if f[:2] == (item, rule) and abs(f[2] - line) <= 2), None)
+        if hit:
+            free.remove(hit)
+        want.append((item, rule, line, hit and hit[2]))
+    got = band_match(spark.createDataFrame(expected, schema), spark.createDataFrame(found, schema)).collect()
+    key = lambda r: (*r[:3], -1 if r[3] is None else r[3])
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    a, b = spark.createDataFrame(expected, schema), spark.createDataFrame(found, schema)
+    assert {tuple(r) for r in detected(a, b, ["item", "line"]).collect()} == {(i, n) for i, _, n in expected} & {(i, n) for i, _, n in found}
+    assert band_match(a, b.limit(0)).where("at IS NOT NULL").count() == 0 and band_match(a.limit(0), b).count() == 0
+
+
 def test_rules_table(spark):
     assert rules_table(spark, corpus_pack()).count() == 8

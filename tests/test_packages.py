@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import binary, flows, graphs, packages, reports, supply
 from sievework.operators import findings as fd
-from sievework.sources import archives, trees
+from sievework.sources import archives, config, trees
 
 FILES = "package string, path string, content string"
 
@@ -177,6 +177,39 @@ def test_graphs_end(spark):
     assert {r.node: r.round for r in graphs.bounded_closure(edges, seeds, 2).collect()} == {"a": 0, "b": 1, "c": 2, "d": 2}
 
 
+def test_paths(spark):
+    edges = spark.createDataFrame([("n1", "n12"), ("n12", "r"), ("r", "n1"), ("n1", "r")], "u string, v string")
+    starts = spark.createDataFrame([("t", "n1", ["t", "n1"])], "target string, node string, path array<string>")
+    want = {("t", "n1"), ("t", "n1", "n12"), ("t", "n1", "r"), ("t", "n1", "n12", "r")}
+    assert {tuple(r.path) for r in graphs.paths(edges, starts).collect()} == want
+    assert graphs.paths(edges, starts, 1).count() == 3 and graphs.paths(edges, starts.limit(0)).count() == 0
+
+
+def test_config(tmp_path):
+    file = tmp_path / "c.json"
+    assert config.load(file) == config.Config()
+    file.write_text(json.dumps({"maxFiles": 7, "ignore": ["gen/**"], "redactSecrets": False, "other": 1, "failOn": None}))
+    got = config.load(file)
+    assert (got.max_files, got.ignore, got.redact_secrets, got.fail_on, got.max_plugins) == (7, ("gen/**",), True, None, 12)
+    over = config.merge(got, max_files=9, mode=None, redact_secrets=False)
+    assert (over.max_files, over.mode, over.redact_secrets) == (9, "source", True)
+    for text in ("{", "[]"):
+        file.write_text(text)
+        with pytest.raises(ValueError, match="c.json"):
+            config.load(file)
+
+
+def test_single_file(spark, tmp_path):
+    file = tmp_path / "node_modules" / "a.js"
+    file.parent.mkdir()
+    file.write_text("eval(x)" * 5)
+    found = trees.list_file(str(file), "p", full=10)
+    assert [(r.path, r.klass, r.content) for r in trees.read_listed(spark, found).collect()] == [("a.js", "full", "eval(x)" * 5)]
+    found = trees.list_file(str(file), "p", full=10, lite=20)
+    files = trees.read_listed(spark, found)
+    assert trees.coverage(files, found).first().complete is False and files.first().content is None
+
+
 def test_reports(spark):
     secret = "ghp_" + "a" * 36
     rows = [("p", "a.js", "R1", "high", "c", 3, f"k = '{secret}'", True), ("p", "b.js", "R2", "low", "c", 1, "<b>", True)]
