@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,39 +16,48 @@ def first_existing(wanted: DataFrame, candidates: str, there: DataFrame, key: st
     return keyed.join(best, "wanted_id", "left").drop("wanted_id")
 
 
-#: Levels after which what has been found is written to the folder of checkpoints, where there is one.
+#: Levels after which what has been found is put into one table.
 CUT = 8
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def held(df: DataFrame) -> DataFrame:
+    """df computed once: a compressed table in the folder of checkpoints, or kept by Spark where there is none. Its size is then
+    known to later joins; what explode makes of a small table is not, and would be broadcast."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        return df
-    df.sparkSession.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+        return df.persist()
+    path = f"{folder.rstrip('/')}/sievework-graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """df computed once: written to the folder of checkpoints, or kept by Spark where there is none."""
-    return _cut(df) if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+def let_go(*tables: DataFrame) -> None:
+    """Delete what held() made, once no later plan reads it."""
+    for df in tables:
+        df.unpersist()
+        context = df.sparkSession.sparkContext
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/sievework-graph-" in f}:
+            p = context._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def levels(edges: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
     """node, level, parent: breadth first from roots (node) along edges (u, v); of several parents the least. A step is a join
     with what is new; it ends when nothing is."""
-    seen = roots.select(F.col("node"), F.lit(0).alias("level"), F.lit(None).cast(edges.schema["u"].dataType).alias("parent")).dropDuplicates(["node"])
-    edge = edges.select("u", "v").distinct()
-    front = seen
+    none = F.lit(None).cast(edges.schema["u"].dataType).alias("parent")
+    seen = front = held(roots.select(F.col("node"), F.lit(0).alias("level"), none).dropDuplicates(["node"]))
+    edge = held(edges.select("u", "v").distinct())
     for level in range(1, most + 1):
         step = front.join(edge, front["node"] == edge["u"]).groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"))
-        fresh = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("level"), "parent").persist()
+        fresh = held(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("level"), "parent"))
         if fresh.isEmpty():
-            fresh.unpersist()
+            let_go(fresh)
             break
         seen, front = seen.unionByName(fresh), fresh
         if level % CUT == 0:  # else a plan of many levels grows with their number
-            seen = _cut(seen)
-            front = seen.where(F.col("level") == level)
+            seen = held(seen)
+    let_go(edge)
     return seen
 
 
@@ -57,7 +68,7 @@ def paths(edges: DataFrame, starts: DataFrame, most: int = 20) -> DataFrame:
     out = front = starts.select("target", "node", "path")
     for _ in range(most):
         step = front.join(edges.select("u", "v").distinct(), front["node"] == F.col("u")).where(~F.array_contains("path", F.col("v")))
-        front = _held(step.select("target", F.col("v").alias("node"), F.array_append("path", F.col("v")).alias("path")))
+        front = held(step.select("target", F.col("v").alias("node"), F.array_append("path", F.col("v")).alias("path")))
         if front.isEmpty():
             break
         out = out.unionByName(front)
@@ -71,7 +82,7 @@ def bounded_closure(edges: DataFrame, seeds: DataFrame, rounds: int = 6) -> Data
     front = out
     for i in range(1, rounds + 1):
         front = front.join(edges, front["node"] == edges["u"]).select(F.col("v").alias("node"), "source").distinct()
-        front = _held(front.join(out, ["node", "source"], "left_anti").withColumn("round", F.lit(i)))
+        front = held(front.join(out, ["node", "source"], "left_anti").withColumn("round", F.lit(i)))
         if front.isEmpty():
             break
         out = out.unionByName(front)

@@ -115,10 +115,12 @@ def module_edges(files: DataFrame) -> DataFrame:
 
 def reachable(files: DataFrame) -> DataFrame:
     """package, path, level: the files that a package's runtime entries reach over its imports, breadth first."""
-    from sievework.operators.graphs import levels
+    from sievework.operators.graphs import held, let_go, levels
     from sievework.operators.profile import runtime_entries
 
     key = lambda c: F.concat("package", F.lit("|"), c)
+    files = held(files)
     edges = module_edges(files).where("target IS NOT NULL").select(key("source").alias("u"), key("target").alias("v"))
     out = levels(edges, runtime_entries(files).select(key("path").alias("node")))
+    let_go(files)
     return out.select(F.substring_index("node", "|", 1).alias("package"), F.substring_index("node", "|", -1).alias("path"), "level")
