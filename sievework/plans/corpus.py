@@ -159,7 +159,7 @@ def taint_closure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _closure(lines: DataFrame, parts: DataFrame) -> DataFrame:
-    edges = lines.select(F.col("l_partkey").alias("u"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 500).alias("v")).distinct()
+    edges = lines.select(F.col("l_partkey").alias("u"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 500).alias("v"))
     seeds = parts.select(F.col("p_partkey").alias("node"), F.col("p_partkey").alias("source"))
     return graphs.bounded_closure(edges, seeds)
 
