@@ -10,27 +10,37 @@ import numpy as np
 
 #: Bytes in a shard.
 SHARD = 1 << 18
+#: Symbols of nine bits in the first key of a sort.
+PACKED = 7
 
 
 def suffix_array(symbols: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     """Order of all suffixes by their first `depth` symbols at least; ends are the positions of the strings' terminators,
     each of which is a symbol of its own."""
     n = len(symbols)
-    rank = symbols.astype(np.int64) + 1
-    rank[ends] = 257 + np.arange(len(ends))
-    h = 1
-    order = np.argsort(rank, kind="stable")
+    # the first PACKED symbols at once; a terminator is above all bytes, and what follows it does not count
+    ended, key, h = np.zeros(n, bool), np.zeros(n, np.int64), PACKED
+    stop = np.zeros(n, bool)
+    stop[ends] = True
+    for k in range(h):
+        key <<= 9
+        rest = max(n - k, 0)
+        key[:rest] += np.where(ended[:rest], 0, symbols[k:])
+        ended[:rest] |= stop[k:]
+    order = np.argsort(key, kind="stable")  # equal ones with terminators stay in the order of these
     while True:
-        far = np.zeros(n, np.int64)
-        far[: n - h] = rank[h:]
-        key = rank * (max(n, 257 + len(ends)) + 2) + far
-        order = np.argsort(key, kind="stable")
         sorted_ = key[order]
+        fresh = sorted_[1:] != sorted_[:-1]
+        if h == PACKED:
+            fresh |= ended[order[1:]]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([1], (sorted_[1:] != sorted_[:-1]).astype(np.int64))))
-        h *= 2
-        if h >= depth or rank.max() == n:
+        rank[order] = np.cumsum(np.concatenate(([1], fresh.astype(np.int64))))
+        if h >= depth or rank[order[-1]] == n:
             return order
+        key = rank * (n + 2)
+        key[: max(n - h, 0)] += rank[h:]
+        order = np.argsort(key)  # equal ones share more than any later step asks for, or are told apart in the next round
+        h *= 2
 
 
 def transform(symbols: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,27 +70,30 @@ def repeats(strings: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[l
     Suffixes whose interval holds no other are settled and leave the interleave: no longer one can need them."""
     parts = [transform(s, e, depth) for s, e in strings]
     base = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])))
-    bwt = np.concatenate([p[1] for p in parts])
+    bwt = np.concatenate([p[1] for p in parts]).astype(np.uint16, copy=False)
     lf = np.concatenate([np.where(p[2] >= 0, p[2] + b, -1) for p, b in zip(parts, base, strict=False)])
+    # a step of two symbols: none of them is a terminator, so both are two bytes, which sort by their digits
+    far = np.where(lf >= 0, lf[lf], -1)
+    steps = {1: (bwt.astype(np.uint8), lf.astype(np.int32)), 2: ((bwt[lf] << 8 | bwt & 255).astype(np.uint16), far.astype(np.int32))}
     # h = 0: all in one interval, shard by shard; a whole string has nothing longer to deal to
-    now = np.arange(base[-1])
-    interval = np.zeros(len(now), np.int64)
-    for _ in range(depth):
-        live = lf[now] >= 0
+    now = np.arange(base[-1], dtype=np.int32)
+    interval = np.zeros(len(now), np.int32)
+    for size in [1] * (depth % 2) + [2] * (depth // 2):
+        symbols, longer = steps[size]
+        live = longer[now] >= 0
         now, interval = now[live], interval[live]
         if not len(now):
             break
-        symbol = bwt[now]
+        symbol = symbols[now]
         order = np.argsort(symbol, kind="stable")
         symbol, group = symbol[order], interval[order]
         fresh = np.ones(len(order), bool)
         fresh[1:] = (symbol[1:] != symbol[:-1]) | (group[1:] != group[:-1])
-        now = lf[now[order]]
-        at = np.flatnonzero(fresh)
-        size = np.diff(np.append(at, len(now)))
-        keep = np.repeat(size > 1, size)
-        interval = np.repeat(np.arange(len(at)), size)[keep]
-        now = now[keep]
+        # whoever is neither like the one before nor like the next is alone
+        keep = ~fresh
+        keep[:-1] |= ~fresh[1:]
+        now = longer[now[order[keep]]]
+        interval = np.cumsum(fresh[keep], dtype=np.int32)
     shard = np.searchsorted(base, now, "right") - 1
     sa = np.concatenate([p[0] for p in parts])
     return [shard, sa[now]] if len(now) else [np.zeros(0, np.int64)] * 2, interval

@@ -73,10 +73,11 @@ def blocks(t: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, t.hash(at, at + k, 1)
 
 
-def stretches(t: Tokens, s: Scheme, live: "Live | None"):
+def stretches(t: Tokens, s: Scheme, live: "Live | None", known: "tuple[np.ndarray, np.ndarray] | None" = None):
     """Row, first window, windows, anchor (first token) and anchor's hash of every stretch. With live, a window counts only
-    if its anchor is live and all its blocks (the sampled ones) occur again; on a grid only live blocks can be anchors."""
-    at, h = blocks(t, s.block)
+    if its anchor is live and all its blocks (the sampled ones) occur again; on a grid only live blocks can be anchors. known:
+    blocks(), if they are."""
+    at, h = known or blocks(t, s.block)
     total = int(t.before[-1])
     rank = np.full(total, np.iinfo(np.uint64).max, np.uint64)
     value = np.zeros(total, np.uint64)
@@ -183,8 +184,8 @@ def live_blocks(docs: DataFrame, s: Scheme) -> Live:
             at, h = blocks(t, s.block)
             return h, (at - t.before[np.searchsorted(t.before, at, "right") - 1]) % s.block == 0
         # anchors and sampled blocks, each place once
-        _, _, _, anchor, _ = stretches(t, s, None)
         at, h = blocks(t, s.block)
+        _, _, _, anchor, _ = stretches(t, s, None, (at, h))
         there = np.zeros(int(t.before[-1]), bool)
         there[anchor] = True
         hit = there[at]

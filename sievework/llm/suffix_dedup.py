@@ -72,10 +72,13 @@ def _merge(window: int):
         # the first of each interval starts the others' copies; other anchors' strings are other bytes or other stretches
         begin = start[string] + offset
         order = np.lexsort((begin, th[string], doc[string], ~null[string], interval))
-        later = order[1:][interval[order][1:] == interval[order][:-1]]
-        lead = order[np.maximum.accumulate(np.where(np.concatenate(([True], interval[order][1:] != interval[order][:-1])), np.arange(len(order)), 0))] if len(order) else order
-        same = {int(o): int(f) for o, f in zip(order, lead, strict=True)}
-        later = np.array([o for o in later if (doc[string[o]], th[string[o]], begin[o]) != (doc[string[same[int(o)]]], th[string[same[int(o)]]], begin[same[int(o)]])], np.int64)
+        first = np.ones(len(order), bool)
+        first[1:] = interval[order[1:]] != interval[order[:-1]]
+        lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+        differ = begin[order] != begin[lead]
+        for column in (doc, th, null):
+            differ |= column[string[order]] != column[string[lead]]
+        later = order[differ]
         ids = part.select(DOC).take(pa.array(string[later])) if len(later) else part.select(DOC).slice(0, 0)
         return pa.table({"doc_id": ids.column(0), "th": ids.column(1), "start": pa.array(begin[later], pa.int64())})
 

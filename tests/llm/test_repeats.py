@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from brute import WORD, later
 
-from sievework.llm import bwt, line_dedup, substring_dedup, suffix_dedup
+from sievework.llm import bwt, line_dedup, repeats, substring_dedup, suffix_dedup
 
 
 def sha(x):
@@ -113,3 +113,44 @@ def test_merged_transforms_find_what_sorting_finds():
             if len(x) == depth and 256 not in x:
                 want.setdefault(x.tobytes(), set()).add((s, a))
     assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 7, 9, 16])
+def test_merge_of_transforms_by_brute_force(depth):
+    rng = np.random.default_rng(depth)
+    for _ in range(30):
+        texts = [rng.integers(0, rng.choice([1, 2, 256]), rng.integers(0, 40)).tolist() for _ in range(6)]
+        texts += [x[: rng.integers(0, len(x) + 1)] for x in texts]
+        shards, want = [], {}
+        for k in range(0, 12, 5):
+            symbols = np.array([c for x in texts[k : k + 5] for c in (*x, 256)], np.uint16)
+            for i in range(len(symbols) - depth):
+                if 256 not in symbols[i : i + depth]:
+                    want.setdefault(tuple(symbols[i : i + depth].tolist()), set()).add((k // 5, i))
+            shards.append((symbols, np.flatnonzero(symbols == 256)))
+        (shard, at), interval = bwt.repeats(shards, depth)
+        got = {}
+        for k, i, n in zip(shard.tolist(), at.tolist(), interval.tolist(), strict=True):
+            got.setdefault(n, set()).add((k, i))
+        assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_merge_takes_two_symbols_a_round(monkeypatch):
+    sorts, sort = [], np.argsort
+    monkeypatch.setattr(bwt.np, "argsort", lambda *a, **b: sorts.append(1) or sort(*a, **b))
+    symbols = np.array([*range(200), 256] * 2, np.uint16)
+    (_, at), _ = bwt.repeats([(symbols, np.flatnonzero(symbols == 256))], 100)
+    assert sorted(at.tolist()) == [*range(101), *range(201, 302)]
+    assert len(sorts) <= 60
+
+
+def test_blocks_are_hashed_once_a_slice(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def tokens(data, offsets):
+        t = suffix_dedup.byte_tokens(data, offsets)
+        return repeats.Tokens(t.before, lambda a, b, seed: asked.add(1) or t.hash(a, b, seed))
+
+    docs = spark.createDataFrame([(1, "a" * 300), (2, "b" * 300)], "doc_id long, text string").coalesce(1)
+    repeats.live_blocks(docs, repeats.Scheme(tokens, 100, 40, False, 8))
+    assert asked.value == 1
