@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes in a shard.
-SHARD = 1 << 18
+SHARD = 1 << 16
 #: Symbols of nine bits in the first key of a sort.
 PACKED = 7
 

@@ -181,15 +181,21 @@ class Prefix:
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
+    def every(self, size: int) -> np.ndarray:
+        """Of every range of `size` bytes, as a call gives them."""
+        count = max(len(self.sums) - size, 0)
+        return mix((self.sums[size:] - self.sums[:count]) * self.down[:count] + np.uint64(size))
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every bit of 64."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
+    high = x >> np.uint64(33)
+    x ^= high
+    for odd in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x *= np.uint64(odd)
+        np.right_shift(x, np.uint64(33), out=high)
+        x ^= high
     return x
 
 

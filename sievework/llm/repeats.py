@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.llm.common import bloom, drop_written, in_bloom, map_slices, mix, slices, table, written
+from sievework.llm.common import SLICE_BYTES, bloom, drop_written, in_bloom, map_slices, mix, ranges, slices, table, written
 
 DOC = ["doc_id", "th"]
 #: Hashes are dealt to buckets by their first bits: so many buckets at least, and no more than so many bytes of text for each.
@@ -33,26 +33,36 @@ AT_BITS = 30
 
 @dataclass
 class Tokens:
-    """A slice's tokens: where each row's begin, and hashes of token ranges by seed."""
+    """A slice's tokens: where each row's begin, and hashes of token ranges by seed; every: of all ranges of a size, across rows too,
+    where that is cheaper."""
 
     before: np.ndarray
     hash: Callable[[np.ndarray, np.ndarray, int], np.ndarray]
+    every: Callable[[int, int], np.ndarray] | None = None
+
+    def starts(self, size: int) -> np.ndarray:
+        """Whether so many tokens from here on are of one row."""
+        out = np.ones(int(self.before[-1]), bool)
+        first = np.maximum(self.before[1:] - size + 1, self.before[:-1])
+        out[ranges(first, self.before[1:] - first)] = False
+        return out
 
 
 @dataclass
 class Scheme:
     """What tokens are, the window, the block, and whether the blocks to be met again lie on a fixed grid (else they are the
     anchors). All blocks of a window that repeats occur again; without a grid that is asked of one in `sample` blocks, which
-    their content picks."""
+    their content picks. Texts are read in slices of `most` bytes."""
 
     tokens: Callable[[np.ndarray, np.ndarray], Tokens]
     window: int
     block: int
     grid: bool
     sample: int = 1
+    most: int = SLICE_BYTES
 
     def sampled(self, h: np.ndarray) -> np.ndarray:
-        return mix(h ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(self.sample) == 0
+        return (h * np.uint64(0x2545F4914F6CDD1D) >> np.uint64(40)) % np.uint64(self.sample) == 0
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -67,10 +77,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def blocks(t: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
     """First token of every block of k tokens inside a row, and the block's hash."""
-    n = np.diff(t.before)
-    count = np.maximum(n - k + 1, 0)
-    at = np.repeat(t.before[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    return at, t.hash(at, at + k, 1)
+    at = np.flatnonzero(t.starts(k))
+    return at, t.every(k, 1)[at] if t.every else t.hash(at, at + k, 1)
 
 
 def stretches(t: Tokens, s: Scheme, live: "Live | None", known: "tuple[np.ndarray, np.ndarray] | None" = None):
@@ -82,32 +90,31 @@ def stretches(t: Tokens, s: Scheme, live: "Live | None", known: "tuple[np.ndarra
     rank = np.full(total, np.iinfo(np.uint64).max, np.uint64)
     value = np.zeros(total, np.uint64)
     value[at] = h
-    chosen = np.ones(len(at), bool)
     again = None
     if live is not None:
         some = np.ones(len(h), bool) if s.grid else s.sampled(h)
         repeated = ~some
         repeated[some] = live.again(h[some])
-        if s.grid:
-            chosen[:] = False
-            chosen[repeated] = live.hit(h[repeated])
         again = np.zeros(total, np.int8)
-        again[at[repeated]] = 1
+        again[at] = repeated
         again = sliding_min(again, s.window - s.block + 1) if total > s.window - s.block else again[:0]
-    rank[at[chosen]] = (mix(h[chosen] + np.uint64(9)) >> np.uint64(AT_BITS) << np.uint64(AT_BITS)) | at[chosen].astype(np.uint64)
-    n = np.maximum(np.diff(t.before) - s.window + 1, 0)
-    start = np.repeat(t.before[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    if not len(start):
+        if s.grid:
+            at, h = at[repeated], h[repeated]
+            hit = live.hit(h)
+            at, h = at[hit], h[hit]
+    rank[at] = (mix(h + np.uint64(9)) >> np.uint64(AT_BITS) << np.uint64(AT_BITS)) | at.astype(np.uint64)
+    inside = t.starts(s.window)
+    if not inside.any():
         none = np.zeros(0, np.int64)
         return none, none, none, none, none.astype(np.uint64)
-    least = sliding_min(rank, s.window - s.block + 1)[start]
+    least = sliding_min(rank, s.window - s.block + 1)
+    inside = inside[: len(least)]
     if again is not None:
-        least[again[start] == 0] = np.iinfo(np.uint64).max
-    row = np.repeat(np.arange(len(n)), n)
-    fresh = np.ones(len(start), bool)
-    fresh[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(fresh)
-    size = np.diff(np.append(first, len(start)))
+        inside &= again.view(bool)
+    least[~inside] = np.iinfo(np.uint64).max
+    # an anchor's place is in its rank, so windows of different rows differ
+    first = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
+    size = np.diff(np.append(first, len(least)))
     some = least[first] != np.iinfo(np.uint64).max
     first, size = first[some], size[some]
     anchor = (least[first] & np.uint64((1 << AT_BITS) - 1)).astype(np.int64)
@@ -115,20 +122,19 @@ def stretches(t: Tokens, s: Scheme, live: "Live | None", known: "tuple[np.ndarra
     if live is not None and not s.grid:
         ok = live.hit(hashes)
         first, size, anchor, hashes = first[ok], size[ok], anchor[ok], hashes[ok]
-    return row[first], start[first], size, anchor, hashes
+    return np.searchsorted(t.before, first, "right") - 1, first, size, anchor, hashes
 
 
 def _pack(h: np.ndarray, grid: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
     """Sorted distinct hashes by bucket: 4 bytes a step, or 5 a hash where a step is too long. Two low bits of each say
     whether it is on the grid, and whether it occurs again here."""
-    h, flag = h >> np.uint64(64 - bits - KEY_BITS), grid.astype(np.uint64)
-    order = np.argsort(h, kind="stable")
-    h, flag = h[order], flag[order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(h)))
-    if not len(first):
+    if not len(h):
         return
-    value = (h[first] << np.uint64(2)) | np.maximum.reduceat(flag, first) | ((size > 1).astype(np.uint64) << np.uint64(1))
+    flagged = np.sort((h >> np.uint64(64 - bits - KEY_BITS) << np.uint64(1)) | grid)
+    h = flagged >> np.uint64(1)
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    size = np.diff(np.append(first, len(h)))
+    value = (h[first] << np.uint64(2)) | (flagged[first + size - 1] & np.uint64(1)) | ((size > 1).astype(np.uint64) << np.uint64(1))
     edge = np.searchsorted(h[first] >> np.uint64(KEY_BITS), np.arange((1 << bits) + 1, dtype=np.uint64))
     mask = np.uint64((1 << (KEY_BITS + 2)) - 1)
     for b in range(1 << bits):
@@ -195,7 +201,7 @@ def live_blocks(docs: DataFrame, s: Scheme) -> Live:
     def send(batches):
         held, size = [], 0
         for batch in batches:
-            for _, data, offsets in slices(batch):
+            for _, data, offsets in slices(batch, most=s.most):
                 held.append(hashes(data, offsets))
                 size += len(data)
                 if size >= FLUSH_TEXT:
@@ -248,21 +254,27 @@ def stretch_table(docs: DataFrame, s: Scheme, live: Live) -> DataFrame:
         ids = part.select(DOC).take(pa.array(row))
         return table(anchor=h.view(np.int64), body=body.view(np.int64), doc_id=ids.column(0), th=ids.column(1), start=start - t.before[row], windows=size)
 
-    return map_slices(keyed(docs), run, "anchor long, body long, doc_id long, th long, start long, windows long")
+    return map_slices(keyed(docs), run, "anchor long, body long, doc_id long, th long, start long, windows long", most=s.most)
+
+
+def _spot(anchor: np.ndarray, doc: pa.Array, th: pa.Array, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of a stretch's anchor and place."""
+    x = anchor.view(np.uint64) + mix(doc.fill_null(0).to_numpy().view(np.uint64) + mix(th.to_numpy().view(np.uint64) + mix(start.astype(np.uint64))))
+    return _names(x)
 
 
 def contents(docs: DataFrame, s: Scheme, live: Live, wanted, content: Callable, kind: str) -> DataFrame:
-    """The stretches whose anchor the filter `wanted` lets through, with `content` made of their tokens."""
+    """The stretches whose anchor and place the filter `wanted` lets through, with `content` made of their tokens."""
 
     def run(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         t = s.tokens(data, offsets)
         row, start, size, _, h = stretches(t, s, live)
-        ok = in_bloom(wanted.value, h.view(np.int64), mix(h).view(np.int64))
-        row, start, size, h = row[ok], start[ok], size[ok], h[ok]
         ids = part.select(DOC).take(pa.array(row))
+        ok = in_bloom(wanted.value, *_spot(h.view(np.int64), *ids.columns, start - t.before[row]))
+        row, start, size, h, ids = row[ok], start[ok], size[ok], h[ok], ids.filter(pa.array(ok))
         return table(anchor=h.view(np.int64), doc_id=ids.column(0), th=ids.column(1), start=start - t.before[row], content=content(data, t, start, size))
 
-    return map_slices(keyed(docs), run, f"anchor long, doc_id long, th long, start long, content {kind}")
+    return map_slices(keyed(docs), run, f"anchor long, doc_id long, th long, start long, content {kind}", most=s.most)
 
 
 def place(start: Column | str = "start") -> Column:
@@ -272,7 +284,7 @@ def place(start: Column | str = "start") -> Column:
 
 def covered(docs: DataFrame, s: Scheme, content: Callable, kind: str, compare: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """doc_id, th, spans (tokens): what the windows cover whose tokens also start earlier, as maximal runs (start, stop). compare(table, window) gets stretches (anchor, doc_id, th, start, content) that share an anchor and differ,
-    and returns the windows (doc_id, th, start) that start earlier in another of them."""
+    and returns what is covered by windows that start earlier in another of them (doc_id, th, start, stop)."""
     live = live_blocks(docs, s)
     every = written(stretch_table(docs, s, live), "stretches")
     groups = every.groupBy("anchor", "body", "windows").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -285,15 +297,14 @@ def covered(docs: DataFrame, s: Scheme, content: Callable, kind: str, compare: C
 
     def second(batches):
         for batch in batches:
-            h = batch.column("anchor").to_numpy()
-            yield table(a=h, b=mix(h.view(np.uint64)).view(np.int64))
+            a, b = _spot(batch.column("anchor").to_numpy(), batch.column("doc_id"), batch.column("th"), batch.column("start").to_numpy())
+            yield table(a=a, b=b)
 
-    wanted = bloom(leaders.select("anchor").distinct().mapInArrow(second, "a long, b long"), "a", "b")
+    wanted = bloom(leaders.mapInArrow(second, "a long, b long"), "a", "b")
     found = contents(docs, s, live, wanted, content, kind)
     same = [found[c].eqNullSafe(leaders[c]) for c in ("anchor", "doc_id", "th", "start")]
     met = found.join(leaders, same[0] & same[1] & same[2] & same[3], "left_semi").dropDuplicates(["anchor", *DOC, "start"])
-    single = compare(met, s.window)
-    out = written(runs(out.unionByName(single.select(*DOC, "start", (F.col("start") + s.window).alias("stop")))), "runs")
+    out = written(runs(out.unionByName(compare(met, s.window))), "runs")
     drop_written(every, groups, leaders)
     return out
 

@@ -49,7 +49,7 @@ def _compare(met: DataFrame, window: int) -> DataFrame:
     """Windows by anchor and hash: all but the first of each."""
     single = met.select("anchor", *DOC, F.posexplode("content").alias("i", "hash"), "start").select("anchor", "hash", *DOC, (F.col("start") + F.col("i")).alias("start"))
     first = single.groupBy("anchor", "hash").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return single.join(first, ["anchor", "hash"]).where(place() > F.col("first"))
+    return single.join(first, ["anchor", "hash"]).where(place() > F.col("first")).select(*DOC, "start", (F.col("start") + window).alias("stop"))
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -13,26 +13,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.bwt import SHARD, repeats
-from sievework.llm.common import Prefix, binaries, map_slices, ranges, table, written
-from sievework.llm.repeats import DOC, Scheme, Tokens, covered, place, with_spans
+from sievework.llm.common import Prefix, binaries, drop_written, map_slices, ranges, table, written
+from sievework.llm.repeats import DOC, Scheme, Tokens, covered, with_spans
 
 #: Bytes that make a repeat, and bytes in an anchor.
 WINDOW, BLOCK = 100, 40
 #: One in so many blocks is looked up to see whether a window can repeat at all.
 SAMPLE = 8
-#: Bytes of stretches gathered in one task's group, and different stretches of one anchor from which on windows are dealt singly.
-GROUP, CROWDED = 2 << 20, 512
+#: Bytes of text in a slice; arrays of larger ones do not stay in a core's cache.
+SLICE = 1 << 18
+#: Bytes of stretches gathered in one task's group, and different stretches of one anchor beyond which they are dealt to several groups.
+GROUP, CROWDED = 1 << 18, 1024
+#: Windows of crowded anchors that meet in one group, on average.
+MEET = 1 << 16
 
 
 def byte_tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     made: dict = {}
 
-    def hash_(first: np.ndarray, stop: np.ndarray, seed: int) -> np.ndarray:
+    def prefix(seed: int) -> Prefix:
         if seed not in made:
             made[seed] = Prefix(data, seed)
-        return made[seed](first, stop)
+        return made[seed]
 
-    return Tokens(offsets, hash_)
+    return Tokens(offsets, lambda first, stop, seed: prefix(seed)(first, stop), lambda size, seed: prefix(seed).every(size))
 
 
 def _bytes(window: int):
@@ -43,10 +47,30 @@ def _bytes(window: int):
     return content
 
 
+def _join(string: np.ndarray, begin: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of a string that overlap or touch, as one run: string, start, stop."""
+    order = np.lexsort((begin, string))
+    string, begin = string[order], begin[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (string[1:] != string[:-1]) | (begin[1:] > begin[:-1] + window)
+    last = np.append(fresh[1:], True) if len(order) else fresh
+    return string[fresh], begin[fresh], begin[last] + window
+
+
+def _documents(part: pa.Table) -> np.ndarray:
+    """Each row's document, numbered in the order of places: null first, then doc_id, then the text's hash."""
+    null = part.column("doc_id").is_null().to_numpy()
+    doc, th = part.column("doc_id").fill_null(0).to_numpy(), part.column("th").to_numpy()
+    order = np.lexsort((th, doc, ~null))
+    number = np.zeros(len(order), np.int64)
+    number[order[1:]] = np.cumsum((np.diff(th[order]) != 0) | (np.diff(doc[order]) != 0) | (null[order[1:]] != null[order[:-1]]))
+    return number
+
+
 def _merge(window: int):
     def run(part: pa.Table) -> pa.Table:
-        anchor, doc, th, start = (part.column(c).to_numpy() if not part.column(c).null_count else part.column(c).fill_null(np.iinfo(np.int64).min).to_numpy() for c in ("anchor", *DOC, "start"))
-        null = part.column("doc_id").is_null().to_numpy()
+        part = part.combine_chunks()
+        start = part.column("start").to_numpy()
         strings = part.column("content").to_pylist()
         shards, members, size = [], [[]], 0
         for k, s in enumerate(strings):
@@ -70,41 +94,79 @@ def _merge(window: int):
             string[mine] = first_string[k] + local
             offset[mine] = at[mine] - np.concatenate(([0], ends[:-1] + 1))[local]
         # the first of each interval starts the others' copies; other anchors' strings are other bytes or other stretches
-        begin = start[string] + offset
-        order = np.lexsort((begin, th[string], doc[string], ~null[string], interval))
-        first = np.ones(len(order), bool)
-        first[1:] = interval[order[1:]] != interval[order[:-1]]
-        lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-        differ = begin[order] != begin[lead]
-        for column in (doc, th, null):
-            differ |= column[string[order]] != column[string[lead]]
-        later = order[differ]
-        ids = part.select(DOC).take(pa.array(string[later])) if len(later) else part.select(DOC).slice(0, 0)
-        return pa.table({"doc_id": ids.column(0), "th": ids.column(1), "start": pa.array(begin[later], pa.int64())})
+        spot = _documents(part)[string] << 32 | start[string] + offset
+        begins = np.flatnonzero(np.diff(interval, prepend=-1))
+        lead = np.repeat(np.minimum.reduceat(spot, begins), np.diff(np.append(begins, len(spot)))) if len(spot) else spot
+        later = spot != lead
+        string, offset = string[later], offset[later]
+        of, a, b = _join(string, start[string] + offset, window)
+        out = part.select(DOC).take(pa.array(of)).append_column("start", pa.array(a, pa.int64())).append_column("stop", pa.array(b, pa.int64()))
+        none = pa.nulls(len(of), pa.int64())
+        out = out.append_column("one", none).append_column("two", none)
+        # a crowded anchor is in several groups: what is first here may be later than another group's
+        open_ = np.flatnonzero(part.column("crowded").to_numpy())
+        if not len(open_):
+            return out
+        lengths = np.array([len(strings[k]) for k in open_])
+        data = np.frombuffer(b"".join(strings[k] for k in open_), np.uint8)
+        windows, begin = lengths - window + 1, np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        place = np.full(len(strings), -1, np.int64)
+        place[open_] = begin
+        left = np.zeros(len(data), bool)
+        left[ranges(begin, windows)] = True
+        some = place[string] >= 0
+        left[place[string[some]] + offset[some]] = False
+        at = np.flatnonzero(left)
+        k = np.searchsorted(begin, at, "right") - 1
+        one, two = (Prefix(data, seed)(at, at + window).view(np.int64) for seed in (2, 3))
+        more = part.select(DOC).take(pa.array(open_[k])).append_column("start", pa.array(start[open_[k]] + at - begin[k], pa.int64()))
+        more = more.append_column("stop", pa.nulls(len(at), pa.int64())).append_column("one", pa.array(one)).append_column("two", pa.array(two))
+        return pa.concat_tables([out, more.cast(out.schema)])
+
+    return run
+
+
+def _later(window: int):
+    """Windows that start earlier in another group, told by two hashes."""
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        one, two, start = (part.column(c).to_numpy() for c in ("one", "two", "start"))
+        spot = _documents(part) << 32 | start
+        order = np.lexsort((spot, two, one))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
+        lead = spot[order][np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+        later = order[spot[order] != lead]
+        return part.select([*DOC, "start"]).take(pa.array(later)).append_column("stop", pa.array(start[later] + window, pa.int64()))
 
     return run
 
 
 def _compare(met: DataFrame, window: int) -> DataFrame:
     met = written(met, "met")
-    # a crowded anchor's windows are dealt by their own bytes, equal ones put together first
-    crowd = met.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("anchor")
-    some = met.join(crowd, "anchor")
-    last = F.octet_length("content") - window
-    single = some.select("anchor", *DOC, "start", "content", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    single = single.select("anchor", *DOC, (F.col("start") + F.col("i")).alias("start"), F.expr(f"substring(content, i + 1, {window})").alias("content"))
-    first = single.groupBy("anchor", "content").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    crowded = single.join(first, ["anchor", "content"]).where(place() > F.col("first")).select(*DOC, "start")
-    rest = met.join(crowd, "anchor", "left_anti")
-    size = rest.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    # a crowded anchor's stretches are dealt to several groups, and what is first in its group meets the other groups' by its own bytes
+    crowd = met.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED)
+    crowd = crowd.select("anchor", F.ceil(F.col("n") / CROWDED).alias("pieces"))
+    rows = met.join(crowd, "anchor", "left").withColumn("crowded", F.col("pieces").isNotNull())
+    size = met.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     groups = max(1, -(-int(size) // GROUP))
-    dealt = rest.withColumn("deal", F.pmod(F.xxhash64("anchor"), F.lit(groups))).groupBy("deal")
-    return crowded.unionByName(dealt.applyInArrow(_merge(window), "doc_id long, th long, start long"))
+    piece = F.pmod(F.xxhash64(*DOC, "start"), F.coalesce("pieces", F.lit(1)))
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("anchor", piece), F.lit(groups))).drop("anchor", "pieces").groupBy("deal")
+    spans = "doc_id long, th long, start long, stop long"
+    merged = written(dealt.applyInArrow(_merge(window), f"{spans}, one long, two long"), "merged")
+    drop_written(met)
+    settled, rest = merged.where("stop is not null").select(*DOC, "start", "stop"), merged.where("stop is null").drop("stop")
+    n = rest.count()
+    if not n:
+        return settled
+    rest = rest.groupBy(F.pmod("one", F.lit(-(-n // MEET))).alias("deal"))
+    return settled.unionByName(rest.applyInArrow(lambda part: _later(window)(part), spans))
 
 
 def repeated_bytes(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id, th, spans (bytes): exactly the bytes inside a string of `window` bytes that also starts earlier."""
-    return covered(docs, Scheme(byte_tokens, window, block, False, SAMPLE), _bytes(window), "binary", _compare)
+    return covered(docs, Scheme(byte_tokens, window, block, False, SAMPLE, SLICE), _bytes(window), "binary", _compare)
 
 
 def _keep(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:

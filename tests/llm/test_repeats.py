@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import WORD, later
 
@@ -154,3 +155,45 @@ def test_blocks_are_hashed_once_a_slice(spark):
     docs = spark.createDataFrame([(1, "a" * 300), (2, "b" * 300)], "doc_id long, text string").coalesce(1)
     repeats.live_blocks(docs, repeats.Scheme(tokens, 100, 40, False, 8))
     assert asked.value == 1
+
+
+def stretches_of(strings):
+    n = len(strings)
+    ids = {"doc_id": pa.array(range(n), pa.int64()), "th": pa.array(range(n), pa.int64()), "start": pa.array([7] * n, pa.int64())}
+    return pa.table(ids | {"content": pa.array(strings, pa.binary()), "crowded": pa.array([False] * n)})
+
+
+def test_merge_gives_runs_and_not_windows():
+    common = bytes(range(32, 192))
+    got = suffix_dedup._merge(100)(stretches_of([b"x" + common, b"y" + common, bytes(range(150))[::-1]])).to_pylist()
+    assert [(r["doc_id"], r["start"], r["stop"]) for r in got] == [(1, 8, 168)]
+
+
+def test_only_first_stretches_are_fetched(spark, monkeypatch):
+    """Copies of a stretch stay where they are when an anchor's different stretches are compared."""
+    rng = np.random.default_rng(5)
+    common = "".join(map(chr, rng.integers(97, 123, 130)))
+    texts = ["a" * 30 + common + "b" * 30, "c" * 30 + common + "d" * 30]
+    docs = spark.createDataFrame([(i, texts[i % 2]) for i in range(200)], "doc_id long, text string")
+    found, contents = [], repeats.contents
+    monkeypatch.setattr(repeats, "contents", lambda *a: found.append(contents(*a)) or found[0])
+    removed = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert removed == {0: 0, 1: 130} | dict.fromkeys(range(2, 200), 190)
+    assert found[0].count() <= 40
+
+
+def test_crowded_anchors_are_dealt_and_meet(spark, monkeypatch):
+    """One passage in many different surroundings: exact over groups, and no join by content."""
+    monkeypatch.setattr(suffix_dedup, "CROWDED", 8)
+    monkeypatch.setattr(suffix_dedup, "GROUP", 1 << 11)
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    common = word(110)
+    docs = [(i, word(60) + common[: 110 - i % 7] + word(60)) for i in range(120)]
+    plans, written = [], suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "written", lambda df, name: plans.append(df._jdf.queryExecution().analyzed().toString()) or written(df, name))
+    windows = lambda t: [(i, i + 100, t[i : i + 100]) for i in range(len(t) - 99)]
+    got = {r.doc_id: (r.n_removed, r.kept) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, t, covered in later(docs, windows):
+        assert got[d] == (len(covered), "".join(c for i, c in enumerate(t) if i not in covered).encode()), d
+    assert len(plans) == 2 and not any("Generate" in p for p in plans)
